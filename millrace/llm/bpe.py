@@ -184,7 +184,7 @@ class Decoder:
 
 def piece_ids(replay: MergeReplay, cache: dict[str, bytes], pieces: list[list[str]]) -> None:
     """Encode into the cache every piece that it lacks."""
-    new = list({p for doc in pieces for p in doc} - cache.keys())
+    new = list({p for doc in pieces for p in doc if p not in cache})
     cache.update(zip(new, replay.encode([p.encode() for p in new]), strict=True))
 
 
