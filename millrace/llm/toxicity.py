@@ -1,6 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A document is the set of its lower-cased terms, hashed into BUCKETS. Of these the machine keeps the
+A document is the set of its lower-cased terms and their beginnings of PREFIXES letters (so that rare
+endings of a known term still count), hashed into BUCKETS. Of these the machine keeps the
 buckets whose frequency differs between the two classes of the sample by Z_LEAST standard errors or more; it
 learns a weight and a vector for each, so that pairs of terms (an insult with a group mention) add
 evidence that no sum of single weights has. Fitted by AdaGrad on a bounded sample of labelled
@@ -23,13 +24,15 @@ from millrace.llm.common import held_out, labelled_sample, table
 
 BUCKETS, FACTORS, EPOCHS, RATE, DECAY = 1 << 20, 8, 25, 0.15, 1e-4
 SAMPLE_ROWS, SAMPLE_CHARS = 16_000, 20_000
-Z_LEAST, MAX_FEATURES = 4.0, 16_384
+Z_LEAST, MAX_FEATURES, PREFIXES = 4.0, 16_384, (4, 5)
 
 _TERM = re.compile(r"\w+").findall
 
 
 def term_buckets(text: str | None) -> set[int]:
-    return {zlib.crc32(t.encode("utf-8", "replace")) & (BUCKETS - 1) for t in set(_TERM((text or "").lower()))}
+    terms = set(_TERM((text or "").lower()))
+    terms |= {t[:n] + "*" for n in PREFIXES for t in terms if len(t) > n}
+    return {zlib.crc32(t.encode("utf-8", "replace")) & (BUCKETS - 1) for t in terms}
 
 
 class FactorizationMachine:
