@@ -68,31 +68,46 @@ def held_out(doc_id: Column, n: int, remainder: int) -> Column:
     return F.coalesce(id_bucket(doc_id, n) == remainder, F.lit(True))
 
 
+def sample_ids(keyed: DataFrame, rows: int) -> list:
+    """At most `rows` rows of `keyed` (a few narrow columns, doc_id among them), by a hash of the id.
+
+    The rows are counted first, so that only about 1.5 times `rows` pass a threshold on the hash and
+    reach the driver, however many tasks there are.
+    """
+    n = keyed.count()
+    if not n:
+        return []
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    near = keyed.where(part <= int(min(1.0, 1.5 * rows / n + 100 / n) * (1 << 40)))
+    return near.orderBy(part, *keyed.columns).limit(rows).collect()
+
+
+def texts_of(documents: DataFrame, ids: list, schema: str, max_chars: int) -> list:
+    """The chosen ids (first column of each row) with the non-null texts of up to max_chars characters."""
+    if not ids:
+        return []
+    chosen = documents.sparkSession.createDataFrame([tuple(r) for r in ids], schema)
+    return (
+        documents.select("doc_id", "text")
+        .where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+        .join(F.broadcast(chosen), "doc_id")  # as many rows as were sampled
+        .collect()
+    )
+
+
 def labelled_sample(
     documents: DataFrame, labels: DataFrame, label: str, n: int, remainder: int, rows: int, max_chars: int
 ) -> list[tuple[int, str, int]]:
     """(doc_id, text, label) of at most `rows` labelled documents outside the held-out fold.
 
-    The ids are chosen from the labels alone, in the order of a hash of the id, so only `rows` ids
-    are broadcast and only their texts reach the driver. Texts over `max_chars` take no part in a fit.
+    The ids are chosen from the labels alone, so only their texts leave the scan of the documents.
+    Texts over `max_chars` take no part in a fit.
     """
-    spark = documents.sparkSession
-    ids = (
+    keyed = (
         labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("y").isNotNull() & ~held_out(F.col("doc_id"), n, remainder))
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-        .collect()
-    )
-    if not ids:
-        return []
-    chosen = spark.createDataFrame([(r.doc_id, r.y) for r in ids], "doc_id long, y int")
-    found = (
-        documents.select("doc_id", "text")
-        .where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-        .join(F.broadcast(chosen), "doc_id")
-        .collect()
     )
+    found = texts_of(documents, sample_ids(keyed, rows), "doc_id long, y int", max_chars)
     return sorted({(r.doc_id, r.text, r.y) for r in found})

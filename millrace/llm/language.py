@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held_out, table
+from millrace.llm.common import held_out, sample_ids, table, texts_of
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 16, 4, 0.5
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
@@ -115,19 +115,10 @@ class LanguageModel:
 
 def fit(documents: DataFrame) -> LanguageModel:
     """Learn from text and lang of at most SAMPLE_ROWS rows outside the held-out fold."""
-    rows = (
-        documents.select("doc_id", "text", "lang")
-        .where(
-            F.col("lang").isNotNull()
-            & F.col("text").isNotNull()
-            & ~held_out(F.col("doc_id"), 3, 1)
-            & (F.length("text") <= SAMPLE_CHARS)
-        )
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "lang")
-        .limit(SAMPLE_ROWS)
-        .collect()
-    )
-    rows = [(r.text, r.lang) for r in rows if any(c.isalpha() for c in r.text)]
+    keyed = documents.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
+    found = texts_of(documents, sample_ids(keyed, SAMPLE_ROWS), "doc_id long, lang string", SAMPLE_CHARS)
+    rows = sorted(set((r.doc_id, r.text, r.lang) for r in found))
+    rows = [(text, lang) for _, text, lang in rows if any(c.isalpha() for c in text)]
     model = LanguageModel(sorted({lang for _, lang in rows}))
     return model.fit(rows) if rows else model
 

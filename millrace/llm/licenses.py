@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import sample_ids, table, texts_of
 
 #: Common short notices of each family.
 TEMPLATES = {
@@ -209,14 +209,9 @@ class LicenceModel:
 
 
 def fit(documents: DataFrame) -> LicenceModel:
-    rows = (
-        documents.select("doc_id", "text")
-        .where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(SAMPLE_ROWS)
-        .collect()
-    )
-    return LicenceModel().fit([line for r in rows for line in r.text.split("\n")][: 5 * SAMPLE_ROWS])
+    ids = sample_ids(documents.select("doc_id").where(F.col("doc_id").isNotNull()), SAMPLE_ROWS)
+    rows = sorted((r.doc_id, r.text) for r in texts_of(documents, ids, "doc_id long", SAMPLE_CHARS))
+    return LicenceModel().fit([line for _, text in rows for line in text.split("\n")][: 5 * SAMPLE_ROWS])
 
 
 def scan_documents(documents: DataFrame, model: LicenceModel) -> DataFrame:

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from millrace.llm.bpe import op8_bpe
+from millrace.llm.decontamination import op5_decontamination
 from millrace.llm.language import op6_language
 from millrace.llm.licenses import op3_licenses
 from millrace.llm.quality_classifier import op7_quality
+from millrace.llm.quality_rules import op1_quality_rules
 from millrace.llm.token_counts import op4_token_counts
 from millrace.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_licenses": op3_licenses,
     "op4_token_counts": op4_token_counts,
+    "op5_decontamination": op5_decontamination,
     "op6_language": op6_language,
     "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
