@@ -6,6 +6,7 @@ from millrace.llm.bpe import op8_bpe
 from millrace.llm.decontamination import op5_decontamination
 from millrace.llm.language import op6_language
 from millrace.llm.licenses import op3_licenses
+from millrace.llm.near_duplicates import op9_ngram_jaccard
 from millrace.llm.quality_classifier import op7_quality
 from millrace.llm.quality_rules import op1_quality_rules
 from millrace.llm.token_counts import op4_token_counts
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_language": op6_language,
     "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_toxicity": op10_toxicity,
 }
 
