@@ -6,6 +6,7 @@ from millrace.llm.bpe import op8_bpe
 from millrace.llm.decontamination import op5_decontamination
 from millrace.llm.language import op6_language
 from millrace.llm.licenses import op3_licenses
+from millrace.llm.line_dedup import op2_line_dedup
 from millrace.llm.near_duplicates import op9_ngram_jaccard
 from millrace.llm.quality_classifier import op7_quality
 from millrace.llm.quality_rules import op1_quality_rules
@@ -14,6 +15,7 @@ from millrace.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_line_dedup": op2_line_dedup,
     "op3_licenses": op3_licenses,
     "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
