@@ -12,10 +12,12 @@ Candidates are never expanded to all pairs of a group. Documents with equal sets
 Within a block of a scan, classes that share a signature are compared with the least of them at
 once; those that match travel no further, so a huge group of near copies sends one row per
 block and signature. In the shuffle's buckets every class is paired with the least class
-only. Candidates pass an exact lower bound on the difference (parities of 1,024 buckets), then the sets themselves
-are compared. Pairs that a star leaves in different components are then compared with all the
-others of that star, which completes the join: links within a component that is already joined
-need not be known.
+only. A bucket of over HOT classes comes from a group of near copies or from a passage that many
+documents share. A class whose other signatures still keep the guarantee leaves such buckets; only classes that
+depend on them stay, so a common passage pairs nothing. Candidates pass an exact lower bound on the difference (parities of 1,024
+buckets), then the sets themselves are compared. A class that its star leaves in another component is
+then compared with the others of that star, less those that the triangle inequality rules
+out. That completes the join: links within a component that is already joined need not be known.
 
 Defined cases: null and empty texts (or white space alone) have no shingles and are components of
 their own; a null id has a null component and links nothing; repeated rows are exact copies; very
@@ -35,11 +37,19 @@ from millrace.llm.common import cut, small_or_not, stored, table
 from millrace.llm.components import connected_components
 
 WORDS, LEAST, OF = 5, 80, 100
+#: Linked sets differ in at most LEAST_SUM / OF_SUM of their summed sizes.
+LEAST_SUM, OF_SUM = OF - LEAST, OF + LEAST
 PARTS, SKETCH_BITS = 3, 1024
+#: Classes in a bucket beyond which it is left to those that depend on it.
+HOT = 32
+COLD, KNOWN, CROWDED, SLACK = range(4)
+MEASURED = ["a", "b", "n_a", "n_b", "differ", "linked"]
 #: Ids that may be broadcast to pick documents out of the scan; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 #: Bytes of signatures that one task of the shuffle should read.
 TASK_BYTES = 24_000_000
+#: Characters of text whose sets a task holds at once.
+BLOCK_CHARS = 12_000_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -95,10 +105,11 @@ def band_tops() -> np.ndarray:
 TOPS = band_tops()
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """Signatures of one set for the band pairs (band - 1, band) and (band, band + 1)."""
+def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
+    """Signatures of one set for the band pairs (band - 1, band) and (band, band + 1), and how many of
+    them may be left out without loss (negative: the set also signs by its prefix and needs all)."""
     band = int(np.searchsorted(TOPS, len(s)))
-    out = []
+    out, slack = [], 1 << 40
     for pair in (band, band + 1):
         k = most_different(2 * int(TOPS[pair]))
         n1 = k // 2 + 1 + (k // 20 + 1 if k else 0)
@@ -113,16 +124,18 @@ def signatures(s: np.ndarray) -> np.ndarray:
         full = count.sum(axis=1)[:, None] - count > 0
         place = np.arange(PARTS * n1, dtype=np.uint64).reshape(n1, PARTS) * _ODD[0] + seed
         out.append(mixed(rest + mixed(place))[full])
-        if int(full.all(axis=1).sum()) <= k // 2:
+        spare = int(full.all(axis=1).sum()) - k // 2 - 1
+        slack = min(slack, spare)
+        if spare < 0:
             prefix = s[: len(s) - (-(-len(s) * LEAST // OF)) + 1]
             out.append(mixed(prefix ^ mixed(np.array([pair + (1 << 20)], dtype=np.uint64))[0]))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), slack
 
 
 def _sets(batches) -> Iterator[tuple]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        for begin, end in blocks(texts, 12_000_000):
+        for begin, end in blocks(texts, BLOCK_CHARS):
             yield batch, begin, end, [shingles(t) for t in texts[begin:end]]
 
 
@@ -145,7 +158,8 @@ def document_sets(documents: DataFrame) -> DataFrame:
 
 
 def local_links(keys: np.ndarray, sets: list[np.ndarray], sigs: list[np.ndarray]):
-    """Of one block's classes: (rows to shuffle as owner index and signature, verified (least, other) index pairs)."""
+    """Of one block's classes: (rows to shuffle as owner index and signature, verified (least, other,
+    difference) with the two by index)."""
     size = np.array([len(x) for x in sigs], dtype=np.int64)
     owner, sig = np.repeat(np.arange(len(sigs)), size), np.concatenate(sigs)
     by_key = np.argsort(keys, kind="stable")
@@ -157,23 +171,24 @@ def local_links(keys: np.ndarray, sets: list[np.ndarray], sigs: list[np.ndarray]
     head = owner[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
     others = np.flatnonzero(~first)
     if not len(others):
-        return owner, sig, np.zeros((0, 2), np.int64)
+        return owner, sig, np.zeros((0, 3), np.int64)
     pair = head[others] * len(keys) + owner[others]
     distinct, place = np.unique(pair, return_inverse=True)
-    match = np.zeros(len(distinct), dtype=bool)
+    match, differ = np.zeros(len(distinct), dtype=bool), np.zeros(len(distinct), dtype=np.int64)
     for i, p in enumerate(distinct.tolist()):
         a, b = sets[p // len(keys)], sets[p % len(keys)]
         if LEAST * max(len(a), len(b)) <= OF * min(len(a), len(b)):
-            match[i] = linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            match[i], differ[i] = linked(common, len(a), len(b)), len(a) + len(b) - 2 * common
     keep = np.ones(len(sig), dtype=bool)
     keep[others[match[place]]] = False
     found = distinct[match]
-    return owner[keep], sig[keep], np.stack([found // len(keys), found % len(keys)], axis=1)
+    return owner[keep], sig[keep], np.stack([found // len(keys), found % len(keys), differ[match]], axis=1)
 
 
 def block_links(documents: DataFrame, parts: int) -> DataFrame:
-    """Rows (part, a, b), a and b packed 64-bit integers: part >= 0 has classes and their signatures
-    of that part, part < 0 has links found within a block."""
+    """Rows (part, kind, a, b, c) of packed 64-bit integers: COLD has classes and their signatures of that
+    part, KNOWN links found within a block and their differences, SLACK classes and their slack."""
 
     def run(batches):
         import pyarrow as pa
@@ -188,42 +203,52 @@ def block_links(documents: DataFrame, parts: int) -> DataFrame:
             if not new:
                 continue
             keys = np.array(list(new), dtype=np.int64)
-            owner, sig, pairs = local_links(keys, list(new.values()), [signatures(s) for s in new.values()])
+            signed = [signatures(s) for s in new.values()]
+            slack = np.array([x for _, x in signed], dtype=np.int64)
+            owner, sig, pairs = local_links(keys, list(new.values()), [x for x, _ in signed])
+            del signed
             part = (sig % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part * len(keys) + owner, kind="stable")
             owner, sig, part = keys[owner[order]], sig[order], part[order]
             edge = np.append(0, np.flatnonzero(np.diff(part)) + 1)
-            rows = [(int(p), o.tobytes(), x.tobytes()) for p, o, x in zip(part[edge], np.split(owner, edge[1:]), np.split(sig, edge[1:]), strict=True)]
+            rows = [
+                (int(p), COLD, o.tobytes(), x.tobytes(), b"")
+                for p, o, x in zip(part[edge], np.split(owner, edge[1:]), np.split(sig, edge[1:]), strict=True)
+            ]
+            own = int(keys[0]) % parts
+            rows.append((own, SLACK, keys.tobytes(), slack.tobytes(), bytes(8 * len(keys))))
             if len(pairs):
-                rows.append((-1 - int(keys[0]) % parts, keys[pairs[:, 0]].tobytes(), keys[pairs[:, 1]].tobytes()))
+                rows.append((own, KNOWN, keys[pairs[:, 0]].tobytes(), keys[pairs[:, 1]].tobytes(), pairs[:, 2].tobytes()))
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2)]],
-                names=["part", "a", "b"],
+                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["part", "kind", "a", "b", "c"]
             )
 
-    return documents.mapInArrow(run, "part long, a binary, b binary")
+    return documents.mapInArrow(run, "part long, kind int, a binary, b binary, c binary")
 
 
 def bucket_stars(rows: DataFrame) -> DataFrame:
-    """Rows (a, b, known): the least class of a bucket and another of it; known if already verified."""
+    """Rows (kind, a, b, c): COLD the least class of a bucket and another of it; KNOWN a verified link and its
+    difference; CROWDED a signature and a class of a bucket over HOT; SLACK a class and its slack."""
 
     def run(batches):
         import pyarrow as pa
 
-        def out(a, b, known):
+        def out(kind, a, b, c=None):
+            c = np.zeros(len(a), np.int64) if c is None else c
             return pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), known), pa.bool_())],
-                names=["a", "b", "known"],
+                [pa.array(np.full(len(a), kind, np.int32)), *[pa.array(x, pa.int64()) for x in (a, b, c)]],
+                names=["kind", "a", "b", "c"],
             )
 
         keys, sigs = [], []
         for batch in batches:
-            for p, a, b in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                if p < 0:
-                    yield out(np.frombuffer(a, dtype=np.int64), np.frombuffer(b, dtype=np.int64), True)
-                else:
+            for kind, a, b, c in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3, 4)], strict=True):
+                if kind == COLD:
                     keys.append(np.frombuffer(a, dtype=np.int64))
-                    sigs.append(np.frombuffer(b, dtype=np.uint64))
+                    sigs.append(np.frombuffer(b, dtype=np.int64))
+                else:
+                    yield out(kind, *[np.frombuffer(x, dtype=np.int64) for x in (a, b, c)])
         if not keys:
             return
         key, sig = np.concatenate(keys), np.concatenate(sigs)
@@ -232,16 +257,22 @@ def bucket_stars(rows: DataFrame) -> DataFrame:
         sig = sig[order]
         equal = sig[1:] == sig[:-1]
         many = np.flatnonzero(np.append(equal, False) | np.append(False, equal))
+        if not len(many):
+            return
         sig, key = sig[many], key[order[many]]
         order = np.lexsort((key, sig))
         sig, key = sig[order], key[order]
-        first = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
-        head = key[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-        other = head != key
-        pairs = np.unique(np.stack([head[other], key[other]], axis=1), axis=0)
-        yield out(pairs[:, 0], pairs[:, 1], False)
+        fresh = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]))  # a class may come from several tasks
+        sig, key = sig[fresh], key[fresh]
+        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        size = np.diff(np.append(first, len(sig)))
+        head, crowd = np.repeat(key[first], size), np.repeat(size, size) > HOT
+        cold = ~crowd & (head != key)
+        pairs = np.unique(np.stack([head[cold], key[cold]], axis=1), axis=0)
+        yield out(COLD, pairs[:, 0], pairs[:, 1])
+        yield out(CROWDED, sig[crowd], key[crowd])
 
-    return rows.mapInArrow(run, "a long, b long, known boolean")
+    return rows.mapInArrow(run, "kind int, a long, b long, c long")
 
 
 class Verifier:
@@ -250,28 +281,34 @@ class Verifier:
     def __init__(self, documents: DataFrame, classes: DataFrame):
         self.documents, self.classes = documents, classes
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links, cut."""
-        near = cut(self._near(pairs))
+    def measure(self, pairs: DataFrame) -> DataFrame:
+        """a, b, n_a, n_b, differ, linked of every pair, cut. differ: shingles in one of the two only; where a
+        lower bound shows that the pair is no link, that bound."""
+        rough = cut(self._rough(pairs))
+        near = rough.where("linked")
         need = cut(near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "key"))
         sets = self._sets(need, need.count())
         a, b = (sets.select(F.col("key").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
-        joined = near.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
+        joined = near.select("a", "b", "n_a", "n_b").join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", "set_a", "set_b")
 
         def run(batches):
             import pyarrow as pa
 
             for batch in batches:
-                hit = []
+                differ, hit = [], []
                 for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
                     x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                    hit.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    differ.append(len(x) + len(y) - 2 * common)
+                    hit.append(linked(common, len(x), len(y)))
+                columns = [*(batch.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(differ, pa.int64()), pa.array(hit, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=MEASURED)
 
-        return cut(joined.mapInArrow(run, "a long, b long"))
+        exact = joined.mapInArrow(run, "a long, b long, n_a long, n_b long, differ long, linked boolean")
+        return cut(exact.unionByName(rough.where("not linked")))
 
-    def _near(self, pairs: DataFrame) -> DataFrame:
-        """Without the pairs whose sizes or parities show that they differ in too much."""
+    def _rough(self, pairs: DataFrame) -> DataFrame:
+        """The pairs with a lower bound of their difference; linked: it does not rule a link out."""
         a, b = (
             self.classes.select(F.col("key").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
             for c in "ab"
@@ -286,11 +323,12 @@ class Verifier:
                     continue
                 x, y = (np.frombuffer(b"".join(batch.column(f"s_{c}").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH_BITS // 8) for c in "ab")
                 na, nb = (batch.column(f"n_{c}").to_numpy() for c in "ab")
-                near = ones[x ^ y].sum(axis=1) <= (na + nb) * (OF - LEAST) // (OF + LEAST)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+                differ = np.maximum(ones[x ^ y].sum(axis=1), np.abs(na - nb))
+                near = differ <= (na + nb) * (OF - LEAST) // (OF + LEAST)
+                columns = [*(batch.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(differ, pa.int64()), pa.array(near, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=MEASURED)
 
-        sized = LEAST * F.greatest("n_a", "n_b") <= OF * F.least("n_a", "n_b")
-        return pairs.join(b, "b").join(a, "a").where(sized).mapInArrow(run, "a long, b long")
+        return pairs.join(b, "b").join(a, "a").mapInArrow(run, "a long, b long, n_a long, n_b long, differ long, linked boolean")
 
     def _sets(self, need: DataFrame, n: int) -> DataFrame:
         picked = self.classes.join(need, "key").select(F.col("doc").alias("doc_id"), "key")
@@ -321,53 +359,79 @@ def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return both.where("c_a <> c_b").drop("c_a", "c_b")
 
 
-def class_links(documents: DataFrame, classes: DataFrame, shingle_total: int) -> tuple[DataFrame, DataFrame]:
-    """(links between classes that connect all linked classes, components of them)."""
+def crowded_pairs(stars: DataFrame, local: DataFrame) -> DataFrame:
+    """Star pairs of the crowded buckets among the classes that depend on them.
+
+    A class depends on them if it signs in more of them than its slack, or if it has a link found in a block (as it
+    may stand there for others).
+    """
+    crowded = stars.where(F.col("kind") == CROWDED).select(F.col("a").alias("sig"), F.col("b").alias("key"))
+    used = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("used"))
+    slack = stars.where(F.col("kind") == SLACK).groupBy(F.col("a").alias("key")).agg(F.min("b").alias("slack"))
+    depends = used.join(slack, "key").where("used > slack").select("key")
+    depends = depends.union(local.select("a")).union(local.select("b")).distinct()
+    rows = cut(crowded.join(depends, "key", "left_semi"))
+    heads = rows.groupBy("sig").agg(F.min("key").alias("a"))
+    return rows.join(heads, "sig").where("a <> key").select("a", F.col("key").alias("b"))
+
+
+def class_links(documents: DataFrame, classes: DataFrame, shingle_total: int) -> DataFrame:
+    """Components (node, component) of the linked classes; classes without a link are left out."""
     spark = documents.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     parts = max(tasks, -(-shingle_total * 16 // TASK_BYTES))
     rows = block_links(documents, parts).repartition(parts, "part")
     stars = stored(bucket_stars(rows), "stars")
-    local = cut(stars.where("known").select("a", "b").distinct())
-    pairs = cut(stars.where("not known").select("a", "b").distinct())
+    behind = cut(stars.where(F.col("kind") == KNOWN).select("a", "b", F.col("c").alias("differ")).distinct())
+    local = behind.select("a", "b")
+    pairs = cut(stars.where(F.col("kind") == COLD).select("a", "b").union(crowded_pairs(stars, local)).distinct())
     verify = Verifier(documents, classes)
+
+    def grown(links: DataFrame, measured: DataFrame) -> tuple[DataFrame, DataFrame]:
+        links = links.union(measured.where("linked").select("a", "b"))
+        return links, cut(connected_components(links))
+
     # first each class with its least partner only: most groups are then joined
-    links = local.union(verify.links(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
-    components = cut(connected_components(links))
-    left = cut(apart(pairs, components))
-    if left.isEmpty():
-        return links, components
-    links = links.union(verify.links(left))
-    components = cut(connected_components(links))
-    failed = cut(apart(left, components))
+    least = verify.measure(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links, components = grown(local, least)
+    rest = pairs.join(least, ["a", "b"], "left_anti")
+    left = verify.measure(apart(rest, components))
+    links, components = grown(links, left)
+    failed = cut(apart(least.unionByName(left).where("not linked").select("a", "b", "n_b", "differ"), components))
     if failed.isEmpty():
-        return links, components
-    # a class apart from its star meets the star's other classes, and what stood behind them in their blocks
-    behind = local.union(pairs.select(F.col("a"), F.col("a").alias("b"))).union(
-        pairs.select(F.col("b").alias("a"), "b")
-    ).distinct()
-    star = pairs.select(F.col("a").alias("hub"), F.col("b").alias("x")).union(
-        pairs.select(F.col("a").alias("hub"), F.col("a").alias("x"))
-    ).distinct()
-    met = (
-        failed.select(F.col("a").alias("hub"), F.col("b").alias("f"))
-        .join(star, "hub")
-        .where("f <> x")
-        .select(F.col("f").alias("a"), F.col("x").alias("b"))
-        .distinct()
+        return components
+    # the stars of the hubs that a class failed to join, measured whole
+    hubs = failed.select("a").distinct()
+    star = pairs.join(hubs, "a", "left_semi")
+    known = least.unionByName(left)
+    unknown = star.join(known, ["a", "b"], "left_anti")
+    star = cut(known.join(hubs, "a", "left_semi").unionByName(verify.measure(unknown)))
+    upper = F.when(F.col("linked"), F.col("differ")).otherwise(F.col("n_a") + F.col("n_b"))
+    sizes = classes.select(F.col("key").alias("b"), F.col("n_shingles").alias("n"))
+    # a class with those that stood behind it in its block, each at its difference from the class
+    group = cut(behind.join(sizes, "b").select(F.col("a").alias("x"), F.col("b").alias("y"), "n", "differ"))
+
+    def with_group(df: DataFrame, sign: int) -> DataFrame:
+        """df(hub, x, n, d) and the same for all that stood behind x, d less or more their difference."""
+        more = df.select("hub", "x", "d").join(group, "x")
+        return df.unionByName(more.select("hub", F.col("y").alias("x"), "n", (F.col("d") + sign * F.col("differ")).alias("d")))
+
+    outer = with_group(
+        failed.select(F.col("a").alias("hub"), F.col("b").alias("x"), F.col("n_b").alias("n"), F.col("differ").alias("d")), -1
     )
-    met = apart(met, components)
-    # only where something stood behind does this add rows: links in a block are in one component
+    hub_itself = star.select(F.col("a").alias("hub"), F.col("a").alias("x"), F.col("n_a").alias("n"), F.lit(0).cast("long").alias("d"))
+    members = star.select(F.col("a").alias("hub"), F.col("b").alias("x"), F.col("n_b").alias("n"), upper.alias("d"))
+    inner = with_group(hub_itself.distinct().unionByName(members), 1)
+    o, i = (df.select("hub", *[F.col(c).alias(f"{c}_{k}") for c in ("x", "n", "d")]) for df, k in ((outer, "o"), (inner, "i")))
     met = (
-        met.join(behind.select("a", F.col("b").alias("y")), "a")
-        .select(F.col("y").alias("a"), "b")
-        .join(behind.select(F.col("a").alias("b"), F.col("b").alias("y")), "b")
-        .select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("b"))
-        .where("a <> b")
+        o.join(i, "hub")
+        .where(F.col("x_o") != F.col("x_i"))
+        .where(OF_SUM * (F.col("d_o") - F.col("d_i")) <= LEAST_SUM * (F.col("n_o") + F.col("n_i")))
+        .select(F.least("x_o", "x_i").alias("a"), F.greatest("x_o", "x_i").alias("b"))
         .distinct()
     )
-    links = links.union(verify.links(met))
-    return links, cut(connected_components(links))
+    met = apart(met, components).join(known, ["a", "b"], "left_anti")
+    return grown(links, verify.measure(met))[1]
 
 
 def near_duplicate_components(documents: DataFrame) -> DataFrame:
@@ -387,8 +451,8 @@ def near_duplicate_components(documents: DataFrame) -> DataFrame:
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     if not total:
         return sets.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    _, components = class_links(docs.where("doc_id is not null"), classes, total)
-    joined = component_of(classes.select("key", "doc", "rows"), components.withColumnRenamed("node", "node"), "key")
+    components = class_links(docs.where("doc_id is not null"), classes, total)
+    joined = component_of(classes.select("key", "doc", "rows"), components, "key")
     least = joined.groupBy("c_key").agg(F.min("doc").alias("component_id"), F.sum("rows").alias("rows"))
     # only classes of more than one document need a row here; the rest are their own components
     known = (
