@@ -1,0 +1 @@
+"""Event-telemetry lakehouse on Spark with a completeness ledger that proves what landed."""
