@@ -188,16 +188,16 @@ def piece_ids(replay: MergeReplay, cache: dict[str, bytes], pieces: list[list[st
     cache.update(zip(new, replay.encode([p.encode() for p in new]), strict=True))
 
 
-def blocks(texts: list[str | None], size: int = 16_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about `size` characters each, one row at least."""
+def blocks(sizes: list[int], most: int = 16_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to about `most`, one row at least."""
     begin, total = 0, 0
-    for i, text in enumerate(texts):
-        total += len(text or "")
-        if total >= size:
+    for i, size in enumerate(sizes):
+        total += size
+        if total >= most:
             yield begin, i + 1
             begin, total = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def encode_documents(
@@ -215,7 +215,7 @@ def encode_documents(
         decoder = Decoder(replay.by_id)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for begin, end in blocks(texts):
+            for begin, end in blocks([len(t or "") for t in texts]):
                 pieces = [find(t) if t else [] for t in texts[begin:end]]
                 piece_ids(replay, cache, pieces)
                 coded = [b"".join([cache[p] for p in doc]) for doc in pieces]

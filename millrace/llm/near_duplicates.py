@@ -41,7 +41,7 @@ WORDS, LEAST, OF = 5, 80, 100
 LEAST_SUM, OF_SUM = OF - LEAST, OF + LEAST
 PARTS, SKETCH_BITS = 3, 1024
 #: Classes in a bucket beyond which it is left to those that depend on it.
-HOT = 32
+HOT = 8
 COLD, KNOWN, CROWDED, SLACK = range(4)
 MEASURED = ["a", "b", "n_a", "n_b", "differ", "linked"]
 #: Ids that may be broadcast to pick documents out of the scan; beyond it they are joined by a shuffle.
@@ -49,7 +49,7 @@ BROADCAST_IDS = 4_000_000
 #: Bytes of signatures that one task of the shuffle should read.
 TASK_BYTES = 24_000_000
 #: Characters of text whose sets a task holds at once.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 3_000_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -133,10 +133,12 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _sets(batches) -> Iterator[tuple]:
+    import pyarrow.compute as pc
+
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for begin, end in blocks(texts, BLOCK_CHARS):
-            yield batch, begin, end, [shingles(t) for t in texts[begin:end]]
+        texts = batch.column("text")
+        for begin, end in blocks(pc.binary_length(texts).fill_null(0).to_pylist(), BLOCK_CHARS):
+            yield batch, begin, end, [shingles(t) for t in texts.slice(begin, end - begin).to_pylist()]
 
 
 def document_sets(documents: DataFrame) -> DataFrame:
@@ -289,22 +291,16 @@ class Verifier:
         need = cut(near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "key"))
         sets = self._sets(need, need.count())
         a, b = (sets.select(F.col("key").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
-        joined = near.select("a", "b", "n_a", "n_b").join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", "set_a", "set_b")
-
-        def run(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                differ, hit = [], []
-                for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    differ.append(len(x) + len(y) - 2 * common)
-                    hit.append(linked(common, len(x), len(y)))
-                columns = [*(batch.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(differ, pa.int64()), pa.array(hit, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, names=MEASURED)
-
-        exact = joined.mapInArrow(run, "a long, b long, n_a long, n_b long, differ long, linked boolean")
+        common = F.size(F.array_intersect("set_a", "set_b"))
+        differ = F.col("n_a") + F.col("n_b") - 2 * common
+        # the sets stay columns here: two of them a row would make large batches for Python
+        exact = (
+            near.select("a", "b", "n_a", "n_b")
+            .join(b, "b")
+            .join(a, "a")
+            .select("a", "b", "n_a", "n_b", differ.alias("differ"))
+            .withColumn("linked", OF_SUM * F.col("differ") <= LEAST_SUM * (F.col("n_a") + F.col("n_b")))
+        )
         return cut(exact.unionByName(rough.where("not linked")))
 
     def _rough(self, pairs: DataFrame) -> DataFrame:
@@ -338,13 +334,13 @@ class Verifier:
 
             for batch, begin, end, sets in _sets(batches):
                 wanted = batch.column("key").slice(begin, end - begin).to_pylist()
-                rows = {k: s.tobytes() for k, s in zip(wanted, sets, strict=True) if len(s) and set_key(s) == k}
+                rows = {k: s.view(np.int64) for k, s in zip(wanted, sets, strict=True) if len(s) and set_key(s) == k}
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["key", "members"]
+                    [pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.list_(pa.int64()))], names=["key", "members"]
                 )
 
         texts = self.documents.join(small_or_not(picked, n, BROADCAST_IDS), "doc_id").select("key", "text")
-        return texts.mapInArrow(run, "key long, members binary").dropDuplicates(["key"])
+        return texts.mapInArrow(run, "key long, members array<bigint>").dropDuplicates(["key"])
 
 
 def component_of(df: DataFrame, components: DataFrame, column: str) -> DataFrame:

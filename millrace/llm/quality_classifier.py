@@ -14,6 +14,7 @@ labels every score is 0.5; repeated rows get equal scores.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections import Counter
@@ -27,9 +28,9 @@ from millrace.llm.toxicity import score_texts
 
 VOCABULARY, SHAPES, DIM, NONZERO, RADIUS = 2048, 1024, 48, 4, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 64, 3e-3, 1e-4
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
 #: Words that a task remembers before it starts afresh.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 _RUN = re.compile(r"(.)\1+")
@@ -81,7 +82,8 @@ class QualityModel:
         counts: Counter[str] = Counter()
         for t in texts:
             counts.update(set(_WORDS(t)))
-        common = sorted(counts, key=lambda w: (-counts[w], w))[:VOCABULARY]
+        common = heapq.nsmallest(VOCABULARY, counts, key=lambda w: (-counts[w], w))
+        counts.clear()
         self.vocabulary = {w: i for i, w in enumerate(common)}
         rng = np.random.default_rng(3)
         index = np.zeros_like(self.vectors)
@@ -93,6 +95,7 @@ class QualityModel:
             for d in range(1, RADIUS + 1):
                 np.add.at(context, at[d:], index[at[:-d]])
                 np.add.at(context, at[:-d], index[at[d:]])
+        self.cache.clear()
         size = np.linalg.norm(context, axis=1, keepdims=True)
         self.vectors = context / np.maximum(size, 1e-9) + index / np.sqrt(NONZERO)
 

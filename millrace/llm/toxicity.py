@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import held_out, labelled_sample, table
 
 BUCKETS, FACTORS, EPOCHS, RATE, DECAY = 1 << 20, 8, 25, 0.15, 1e-4
-SAMPLE_ROWS, SAMPLE_CHARS = 16_000, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 12_000, 20_000
 Z_LEAST, MAX_FEATURES, PREFIXES = 4.0, 16_384, (4, 5)
 
 _TERM = re.compile(r"\w+").findall
@@ -44,10 +44,11 @@ class FactorizationMachine:
         y = np.array(labels, dtype=np.float64)
         if not len(y):
             return self
-        docs = [term_buckets(t) for t in texts]
+        docs = []  # packed: sets of Python integers of a whole sample would fill a driver's memory
         n, positive = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        for doc, label in zip(docs, labels, strict=True):
-            at = np.fromiter(doc, dtype=np.int64, count=len(doc))
+        for text, label in zip(texts, labels, strict=True):
+            found = term_buckets(text)
+            docs.append(at := np.fromiter(found, dtype=np.int32, count=len(found)))
             n[at] += 1
             positive[at] += label
         rate = y.mean()
@@ -58,7 +59,10 @@ class FactorizationMachine:
         rng = np.random.default_rng(seed)
         self.w0 = float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
         self.w, self.v = np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS))
-        rows = [np.array(sorted(self.place[b] for b in doc if b in self.place), dtype=np.int64) for doc in docs]
+        place = np.full(BUCKETS, -1, dtype=np.int64)
+        place[kept] = np.arange(len(kept))
+        rows = [np.sort(found[found >= 0]) for found in (place[doc] for doc in docs)]
+        del docs
         g0, gw, gv = 1e-6, np.full(self.w.shape, 1e-6), np.full(self.v.shape, 1e-6)
         for _ in range(EPOCHS):
             for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 64)):
