@@ -42,7 +42,6 @@ def to_version(payload: dict, kind: str, version: int) -> dict:
 
 def versioned_payload(version, kind, payload):
     """Column form of to_version: version 2 renames and adds, version 3 changes the unit too."""
-    body = F.substring(payload, 2, 1 << 30)
     inner = F.substring(payload, 2, F.length(payload) - 2)
     v2 = F.when(
         kind == "cycle", F.regexp_replace(inner, '"operator":', '"operator_badge":')
@@ -53,7 +52,6 @@ def versioned_payload(version, kind, payload):
         (kind == "cycle") & ms.isNotNull(),
         F.regexp_replace(v2, F.lit('"duration_s":[^,}]*'), F.concat(F.lit('"duration_ms":'), ms)),
     ).otherwise(v2)
-    del body
     return F.when(version >= 3, v3).when(version == 2, v2).otherwise(payload)
 
 

@@ -20,51 +20,69 @@ def parsed(messages: DataFrame, ingest_ts: Column | None = None, bootstrap: bool
     a producer's raw marker], required keys in order, version, timestamps. An id that is JSON null or
     no string is a reject too.
     """
+    # in steps, so that each text is checked and taken apart once
     text = F.col("value").cast("string")
-    value = F.when(F.is_valid_utf8(text), text)
-    get = lambda k: F.get_json_object(value, f"$.{k}")
-    keys = F.coalesce(F.json_object_keys(value), F.array().cast("array<string>"))
-    has = lambda k: F.array_contains(keys, k)
-    version = F.when(has("schema_version"), F.try_to_number(get("schema_version"), F.lit("999999999")).cast("int")).otherwise(1)
-    times = {k: get(k).try_cast("timestamp") for k in ("event_time", "publish_time")}
+    given = messages.select(
+        "key",
+        "value",
+        F.when(F.is_valid_utf8(text), text).alias("text"),
+        F.col("partition").cast("int").alias("kafka_partition"),
+        F.col("offset").cast("long").alias("kafka_offset"),
+        (ingest_ts if ingest_ts is not None else F.current_timestamp()).alias("ingest_ts"),
+    )
+    looked = given.select(
+        "*", strict_json(F.col("text")).alias("is_json"), F.json_object_keys("text").alias("keys")
+    )
+    names = (*REQUIRED, "schema_version", "payload", *(("_raw", "_key") if bootstrap else ()))
+    fields = looked.select("*", *[F.when(F.col("is_json"), F.get_json_object("text", f"$.{k}")).alias(f"f_{k}") for k in names])
+    get = lambda k: F.col(f"f_{k}")
+    has = lambda k: F.array_contains("keys", k)
+    typed = fields.select(
+        "*",
+        F.when(has("schema_version"), get("schema_version").try_cast("int")).otherwise(1).alias("schema_version"),
+        *[get(k).try_cast("timestamp").alias(k) for k in ("event_time", "publish_time")],
+    )
 
     error = F.when(F.col("value").isNull(), F.lit(TOMBSTONE))
-    error = error.when(value.isNull(), F.lit("UnicodeDecodeError: invalid utf-8"))
-    error = error.when(~strict_json(value), F.lit("JSONDecodeError: not one JSON value"))
-    error = error.when(F.json_object_keys(value).isNull(), F.lit("payload is not an object"))
+    error = error.when(F.col("text").isNull(), F.lit("UnicodeDecodeError: invalid utf-8"))
+    error = error.when(~F.col("is_json"), F.lit("JSONDecodeError: not one JSON value"))
+    error = error.when(F.col("keys").isNull(), F.lit("payload is not an object"))
     if bootstrap:
         error = error.when(has("_raw"), F.lit(PRODUCER_CORRUPT))
     for k in REQUIRED:
         error = error.when(~has(k), F.lit(f"KeyError: '{k}'"))
     for k in REQUIRED[:3]:
         error = error.when(get(k).isNull(), F.lit(f"TypeError: {k} is null"))
-    error = error.when(version.isNull(), F.lit("ValueError: schema_version"))
-    for k, t in times.items():
-        error = error.when(t.isNull(), F.concat(F.lit(f"ValueError: {k}: "), F.coalesce(get(k), F.lit("null"))))
+    error = error.when(F.col("schema_version").isNull(), F.lit("ValueError: schema_version"))
+    for k in ("event_time", "publish_time"):
+        error = error.when(F.col(k).isNull(), F.concat(F.lit(f"ValueError: {k}: "), F.coalesce(get(k), F.lit("null"))))
 
     payload = get("payload")
     empty = payload.isNull() | payload.isin("", "{}", "[]", "0", "false")
-    machine = F.when(F.lit(bootstrap) & has("_raw"), get("_key")).otherwise(F.coalesce(get("machine_id"), F.col("key")))
-    hidden = F.when(F.lit(bootstrap) & has("_raw"), get("_raw"))
+    machine, hidden = F.coalesce(get("machine_id"), F.col("key")), F.col("text")
+    if bootstrap:
+        machine = F.when(has("_raw"), get("_key")).otherwise(machine)
+        hidden = F.when(has("_raw"), get("_raw")).otherwise(hidden)
     raw = (
         F.when(F.col("value").isNull(), F.lit(""))
-        .when(value.isNull(), F.hex(F.substring(F.col("value").cast("binary"), 1, RAW_BYTES)))
-        .otherwise(F.substring(F.coalesce(hidden, value), 1, RAW_CHARS))
+        .when(F.col("text").isNull(), F.hex(F.substring(F.col("value").cast("binary"), 1, RAW_BYTES)))
+        .otherwise(F.substring(hidden, 1, RAW_CHARS))
     )
-    return messages.select(
-        "*",
+    return typed.select(
+        "key",
+        "value",
         error.alias("error"),
         raw.alias("raw"),
         get("event_id").alias("event_id"),
         get("event_type").alias("event_type"),
         machine.alias("machine_id"),
-        times["event_time"].alias("event_time"),
-        times["publish_time"].alias("publish_time"),
-        version.alias("schema_version"),
+        "event_time",
+        "publish_time",
+        "schema_version",
         F.when(empty, F.lit("{}")).otherwise(payload).alias("payload"),
-        (ingest_ts if ingest_ts is not None else F.current_timestamp()).alias("ingest_ts"),
-        F.col("partition").cast("int").alias("kafka_partition"),
-        F.col("offset").cast("long").alias("kafka_offset"),
+        "ingest_ts",
+        "kafka_partition",
+        "kafka_offset",
     )
 
 
@@ -99,27 +117,27 @@ def rejects(frame: DataFrame) -> DataFrame:
     )
 
 
-def wire(events: DataFrame) -> DataFrame:
-    """Events as messages (key, value): one flat JSON object with the payload nested."""
+def _quoted(column: str) -> Column:
+    """The column as a JSON string."""
+    pair = F.to_json(F.struct(F.col(column).alias("v")))
+    return F.substring(pair, F.lit(6), F.length(pair) - 6)
+
+
+def wire_value() -> Column:
+    """One flat JSON object of an event's columns, the payload nested as it is."""
     iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
-    quoted = lambda c: F.to_json(F.struct(F.col(c).alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("v")))) - 6)
-    value = F.concat(
-        F.lit('{"event_id":'),
-        quoted("event_id"),
-        F.lit(',"event_type":'),
-        quoted("event_type"),
-        F.lit(',"machine_id":'),
-        quoted("machine_id"),
-        F.lit(',"event_time":"'),
-        F.date_format("event_time", iso),
-        F.lit('","publish_time":"'),
-        F.date_format("publish_time", iso),
-        F.lit('","schema_version":'),
-        F.col("schema_version").cast("string"),
-        F.lit(',"payload":'),
-        F.coalesce("payload", F.lit("{}")),
-        F.lit("}"),
-    )
+    parts = [F.lit("{")]
+    for c in ("event_id", "event_type", "machine_id"):
+        parts += [F.lit(f'"{c}":'), _quoted(c), F.lit(",")]
+    for c in ("event_time", "publish_time"):
+        parts += [F.lit(f'"{c}":"'), F.date_format(c, iso), F.lit('",')]
+    parts += [F.lit('"schema_version":'), F.col("schema_version").cast("string")]
+    parts += [F.lit(',"payload":'), F.coalesce("payload", F.lit("{}")), F.lit("}")]
+    return F.concat(*parts)
+
+
+def wire(events: DataFrame) -> DataFrame:
+    """Events as messages (key, value, partition)."""
     return events.select(
-        F.col("machine_id").alias("key"), value.alias("value"), key_partition("machine_id").alias("partition")
+        F.col("machine_id").alias("key"), wire_value().alias("value"), key_partition("machine_id").alias("partition")
     )
