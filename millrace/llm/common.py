@@ -40,7 +40,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Like cut(), as Parquet: compressed and prunable by column, for the larger intermediates."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,12 +5,13 @@ of fewer words are too short to be evidence and stay. A line goes if an earlier
 place) has a Jaccard similarity of 0.8 or more with it. The first of equal lines stands for all of
 them, so copies cost one row per task before any join.
 
-Distinct lines are joined by their prefixes. Tokens are 64-bit shingle hashes ordered by rarity: the
-frequency class of a token, then its hash. Classes come from an exact count over all distinct lines of
-the tokens that hash order alone would put into prefixes (the low quarter of the hash range); the
-bounded table of classes has CLASS_SLOTS places (tokens that share a place share a class, which keeps the order total
-and the same for every line). Two similar lines share a token of their prefixes; length and
-positional filters prune, and the token sets are compared.
+Distinct lines are joined by their prefixes in an order of tokens by rarity with two classes: tokens of
+at most CROWDED lines come first, in the order of their 64-bit hashes, then the frequent ones. Frequencies are not known
+beforehand (counting every shingle would shuffle far more than the prefixes do), so prefixes are taken in
+hash order with some tokens to spare. Two similar lines then share more tokens of their prefixes than
+the spare ones, and a line with no more frequent tokens than that finds each partner by a rare token;
+it leaves the frequent ones. Only lines that have too few rare tokens keep them. So a passage that many lines share pairs
+nothing, and no partner is lost. Length and positional filters prune, and the token sets are compared.
 
 No bucket is expanded to all pairs: the lines of a bucket are ranked by place in the corpus, and a line is
 compared with ranks 1, then 2-8, then 9-64 and so on, only while it has found no match.
@@ -28,73 +29,44 @@ from pyspark.sql import functions as F
 from millrace.llm.common import SPACE, cut, let, small_or_not, stored, table
 
 SHINGLE, LEAST, OF = 5, 80, 100
-CLASS_SLOTS = 1 << 14
-#: Tokens of so many lines or more have a class above the rare ones.
-FREQUENT = 16
+#: Lines that a token may have before it counts as frequent.
+CROWDED = 16
 #: Rows of per-document removals that may be broadcast back to the documents.
 BROADCAST_ROWS = 2_000_000
 
-LOW = (1 << 58) - 1
-
 
 def line_words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), SPACE), lambda w: w != "")
 
 
-def long_lines(documents: DataFrame) -> DataFrame:
-    """doc_id, at, line: the lines that have words enough to be compared."""
-    lines = documents.select(F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    # cheap test first: five words need four spaces between them
-    return lines.where(F.length("line") >= 2 * SHINGLE - 1).where(
-        F.col("line").rlike(r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){4}[^\x20\x09-\x0D]")
-    )
+def keyed_lines(documents: DataFrame, with_line: bool) -> DataFrame:
+    """doc_id, at, key[, line] of the lines with SHINGLE words or more; equal keys are equal words.
 
+    Split and hashed inside the row of the document: as columns, a filter on the words would be pushed down and
+    evaluate them twice.
+    """
 
-def keyed(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("key", F.xxhash64(line_words(F.col("line"))))
+    def entry(line: Column, at: Column) -> Column:
+        key = let(line_words(line), lambda w: F.when(F.size(w) >= SHINGLE, F.xxhash64(w)))
+        return F.struct(at.alias("at"), key.alias("key"), *([line.alias("line")] if with_line else []))
+
+    entries = F.filter(F.transform(F.split("text", "\n"), entry), lambda x: x["key"].isNotNull())
+    return documents.select("doc_id", F.explode(entries).alias("x")).select("doc_id", "x.*")
 
 
 def distinct_lines(documents: DataFrame) -> DataFrame:
-    """key, doc_id, at, line: the first of each group of lines with equal words."""
-    first = keyed(long_lines(documents)).groupBy("key").agg(F.min(F.struct("doc_id", "at", "line")).alias("f"))
-    return first.select("key", "f.doc_id", "f.at", "f.line")
+    """key, doc_id, at, line, copies: the first of each group of lines with equal words."""
+    first = keyed_lines(documents, True).groupBy("key").agg(
+        F.min(F.struct("doc_id", "at", "line")).alias("f"), F.count(F.lit(1)).alias("copies")
+    )
+    return first.select("key", "f.doc_id", "f.at", "f.line", "copies")
 
 
-def token_classes(lines: DataFrame) -> list[int]:
-    """A frequency class for each of CLASS_SLOTS places, 0 for the rare."""
-    w = lines.select(line_words(F.col("line")).alias("w"))
-    hashes = w.select("w", F.explode(F.sequence(F.lit(0), F.size("w") - SHINGLE)).alias("i")).select(
-        F.xxhash64(F.slice("w", F.col("i") + 1, SHINGLE)).alias("h")
-    )
-    quarter = F.col("h").bitwiseAND(F.lit(LOW)) < (LOW >> 2)
-    frequent = hashes.where(quarter).groupBy("h").count().where(F.col("count") >= FREQUENT)
-    found = (
-        frequent.groupBy((F.col("h").bitwiseAND(F.lit(CLASS_SLOTS - 1))).alias("slot"))
-        .agg(F.max(F.floor(F.log2("count")) - 3).alias("c"))
-        .collect()
-    )  # at most CLASS_SLOTS rows
-    classes = [0] * CLASS_SLOTS
-    for r in found:
-        classes[r.slot] = min(int(r.c), 31)
-    return classes
-
-
-def tokens(lines: DataFrame, classes: list[int]) -> DataFrame:
-    """key, doc_id, at, t: the line's distinct tokens in order of rarity."""
-    # one string literal, folded into one array literal: thousands of literals would be as many expressions
-    table_ = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>") if any(classes) else None
-
-    def token(h: Column) -> Column:
-        low = h.bitwiseAND(F.lit(LOW))
-        if table_ is None:
-            return low
-        slot = h.bitwiseAND(F.lit(CLASS_SLOTS - 1)).cast("int")
-        return F.shiftleft(F.get(table_, slot), 58).bitwiseOR(low)
+def tokens(lines: DataFrame) -> DataFrame:
+    """key, doc_id, at, t: the line's distinct shingle hashes in order."""
 
     def of(w: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: token(F.xxhash64(F.slice(w, i, SHINGLE)))
-        )
+        return F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))
 
     return lines.select(
         "key", "doc_id", "at", F.sort_array(F.array_distinct(let(line_words(F.col("line")), of))).alias("t")
@@ -105,35 +77,48 @@ def prefix_length(n: Column) -> Column:
     return n - F.ceil(n * LEAST / OF).cast("int") + 1
 
 
+def spare(n: Column) -> Column:
+    """Tokens that a prefix has beyond its length; never less for a longer line."""
+    return 1 + F.floor(n / 50).cast("int")
+
+
 def buckets(tokened: DataFrame) -> DataFrame:
-    """token, key, n, pos, rank (by place in the corpus) in the buckets of two lines or more."""
+    """token, key, doc_id, at, n, pos, rank (by place in the corpus), size: of buckets of two lines or more."""
     sized = tokened.select("key", "doc_id", "at", "t", F.size("t").alias("n"))
-    rows = sized.select(
-        "key", "doc_id", "at", "n", F.posexplode(F.slice("t", F.lit(1), prefix_length(F.col("n")))).alias("pos", "token")
-    )
-    within = W.partitionBy("token").orderBy(F.col("doc_id").asc_nulls_first(), "at", "key")
-    ranked = rows.select(
-        "token",
-        "key",
-        "n",
-        "pos",
-        F.row_number().over(within).alias("rank"),
-        F.lead("key").over(within).isNotNull().alias("more"),
-    )
-    return ranked.where((F.col("rank") > 1) | F.col("more")).drop("more")
+    length = F.least(F.col("n"), prefix_length(F.col("n")) + spare(F.col("n")))
+    rows = sized.select("key", "doc_id", "at", "n", F.posexplode(F.slice("t", F.lit(1), length)).alias("pos", "token"))
+    return rows.select(
+        "*",
+        F.row_number().over(_by_place()).alias("rank"),
+        F.count(F.lit(1)).over(W.partitionBy("token")).alias("size"),
+    ).where("size > 1")
+
+
+def _by_place():
+    return W.partitionBy("token").orderBy(F.col("doc_id").asc_nulls_first(), "at", "key")
+
+
+def useful(rows: DataFrame) -> DataFrame:
+    """The buckets of rare tokens, and those of frequent ones with only the lines that depend on them."""
+    frequent = rows.where(F.col("size") > CROWDED)
+    # a partner may be shorter, to LEAST in the hundred, and then have fewer tokens to spare
+    least_spare = spare(F.ceil(F.col("n") * LEAST / OF))
+    depends = frequent.groupBy("key").agg(F.count(F.lit(1)).alias("used"), F.first("n").alias("n")).where(F.col("used") > least_spare)
+    kept = frequent.join(depends.select("key"), "key", "left_semi").withColumn("rank", F.row_number().over(_by_place()))
+    return rows.where(F.col("size") <= CROWDED).unionByName(kept).select("token", "key", "n", "pos", "rank")
 
 
 def later_matches(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(distinct lines, keys whose first line matches an earlier line of other words)."""
     lines = stored(distinct_lines(documents), "lines")
-    classes = token_classes(lines)
-    rows = stored(buckets(tokens(lines, classes)), "buckets")
+    all_rows = stored(buckets(tokens(lines)), "buckets")
+    rows = stored(useful(all_rows), "useful")
     keys = rows.select("key").distinct()
-    sets = stored(tokens(lines.join(keys, "key", "left_semi"), classes).select("key", "t"), "line-sets")
+    sets = stored(tokens(lines.join(keys, "key", "left_semi")).select("key", "t"), "line-sets")
     most = rows.agg(F.max("rank")).first()[0] or 0
     open_rows, found, low, high = rows, None, 0, 1
     while low < most:
-        later = open_rows.where(F.col("rank") > low + 1).select("token", "key", "n", "pos", "rank")
+        later = open_rows.where(F.col("rank") > low + 1)
         earlier = rows.where((F.col("rank") > low) & (F.col("rank") <= high)).select(
             "token", *[F.col(c).alias(f"e_{c}") for c in ("key", "n", "pos", "rank")]
         )
@@ -163,13 +148,16 @@ def removals(documents: DataFrame) -> DataFrame:
     """doc_id, removed: places of the lines that match an earlier line, in order."""
     docs = documents.select("doc_id", "text")
     lines, found = later_matches(docs)
-    every = keyed(long_lines(docs)).select("doc_id", "at", "key")
-    first = lines.join(found.withColumn("matched", F.lit(True)), "key", "left").select(
-        "key", F.col("doc_id").alias("f_doc"), F.col("at").alias("f_at"), F.coalesce("matched", F.lit(False)).alias("matched")
+    # a line that is alone and matches nothing needs no row here
+    first = (
+        lines.join(found.withColumn("matched", F.lit(True)), "key", "left")
+        .where("matched or copies > 1")
+        .select("key", F.col("doc_id").alias("f_doc"), F.col("at").alias("f_at"), F.coalesce("matched", F.lit(False)).alias("matched"))
     )
     is_first = F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("at") == F.col("f_at"))
     return (
-        every.join(first, "key")
+        keyed_lines(docs, False)
+        .join(first, "key")
         .where(~is_first | F.col("matched"))
         .groupBy("doc_id")
         .agg(F.array_sort(F.collect_set("at")).alias("removed"))
