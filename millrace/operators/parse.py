@@ -25,7 +25,7 @@ def parsed(messages: DataFrame, ingest_ts: Column | None = None, bootstrap: bool
     given = messages.select(
         "key",
         "value",
-        F.when(F.is_valid_utf8(text), text).alias("text"),
+        F.try_validate_utf8(text).alias("text"),
         F.col("partition").cast("int").alias("kafka_partition"),
         F.col("offset").cast("long").alias("kafka_offset"),
         (ingest_ts if ingest_ts is not None else F.current_timestamp()).alias("ingest_ts"),
