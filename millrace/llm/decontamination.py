@@ -69,21 +69,16 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     places = F.when(F.col("len") == 0, F.array(F.lit(0))).when(
         F.col("n_words") >= F.col("len"), F.sequence(F.lit(1), (F.col("n_words") - F.col("len") + 1).cast("int"))
     )
-    probes = docs.select("*", F.explode(places).alias("at")).select(
-        "doc_id",
-        "key",
-        "n_words",
-        "w",
-        "len",
-        "at",
-        F.when(F.col("len") == 0, F.lit(SENTINEL).cast("long"))
-        .otherwise(F.xxhash64(F.slice("w", F.greatest(F.col("at"), F.lit(1)), F.col("len"))))
-        .alias("h"),
+    # only the window's own words go on, so that a shuffled row stays small in a long document
+    probes = (
+        docs.select("*", F.explode(places).alias("at"))
+        .select("doc_id", "key", "n_words", "len", "at", F.slice("w", F.greatest(F.col("at"), F.lit(1)), F.col("len")).alias("gram"))
+        .withColumn("h", F.when(F.col("len") == 0, F.lit(SENTINEL).cast("long")).otherwise(F.xxhash64("gram")))
     )
     same = (
         (F.col("h") == F.col("t_h"))
         & (F.col("len") == F.col("t_len"))
-        & ((F.col("len") == 0) | (F.col("t_gram") == F.slice("w", F.greatest(F.col("at"), F.lit(1)), F.col("len"))))
+        & ((F.col("len") == 0) | (F.col("t_gram") == F.col("gram")))
     )
     matched = probes.join(small_or_not(targets, n_grams, BROADCAST_WINDOWS), same)
     # a row for each copy of a repeated row comes from the sentinel matches, which are counted
