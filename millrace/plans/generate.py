@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from millrace.functions.exprs import duration_seconds, key_partition
 from millrace.operators.disorder import inject, inject_in_sequence
@@ -15,11 +15,8 @@ from millrace.sources.plant import DEFAULT, Plant, Scenario
 from millrace.sources.simulator import simulate
 
 
-def _extended(**more: str) -> StructType:
-    schema = StructType(list(EVENT.fields))
-    for name, kind in more.items():
-        schema = schema.add(name, kind)
-    return schema
+def _extended(*more: StructField) -> StructType:
+    return StructType([*EVENT.fields, *more])
 
 
 def with_duration(events: DataFrame) -> DataFrame:
@@ -45,7 +42,7 @@ def in_sequence(spark: SparkSession, scenario: Scenario, plant: Plant = DEFAULT)
     published, log, canonical = inject_in_sequence(events, scenario.disorder, scenario.seed)
     fields = EVENT.fieldNames()
     rows = [tuple(r[f] for f in fields) + (r.get("text"), i) for i, r in enumerate(published)]
-    frame = spark.createDataFrame(rows, _extended(corrupt_text="string", place="long"))
+    frame = spark.createDataFrame(rows, _extended(StructField("corrupt_text", StringType()), StructField("place", LongType())))
     messages = frame.select(*message_columns(), "corrupt_text", "place")
     truth = [
         tuple(r[f] for f in fields)
@@ -53,6 +50,10 @@ def in_sequence(spark: SparkSession, scenario: Scenario, plant: Plant = DEFAULT)
         for r in canonical
     ]
     marked = spark.createDataFrame(
-        truth, _extended(is_corrupt="boolean", duplicate_extra="int", is_late="boolean")
+        truth, _extended(
+            StructField("is_corrupt", BooleanType()),
+            StructField("duplicate_extra", IntegerType()),
+            StructField("is_late", BooleanType()),
+        )
     )
     return messages, build_manifest(with_duration(marked)), log.summary()

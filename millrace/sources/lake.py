@@ -137,7 +137,7 @@ def load(spark: SparkSession, events: str, manifest: str | None, root: str, batc
     try:
         write_bronze(parse.records(frame), root, batch)
         write_quarantine(parse.rejects(frame), root, batch)
-        counts = frame.agg(F.count_if("error is null").alias("r"), F.count_if("error is not null").alias("q")).first()
+        counts = frame.agg(F.count_if(F.col("error").isNull()).alias("r"), F.count_if(F.col("error").isNotNull()).alias("q")).first()
     finally:
         frame.unpersist()
     out = {"bronze": counts.r, "quarantine": counts.q}

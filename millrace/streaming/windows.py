@@ -24,11 +24,11 @@ def deduplicated(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return events.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def window_counts(events: DataFrame, watermark: str = WATERMARK, window: str = WINDOW) -> DataFrame:
-    """events(event_time, machine_id, event_type, duration_s) by window and machine."""
+def window_counts(events: DataFrame, watermark: str | None = WATERMARK, window: str = WINDOW) -> DataFrame:
+    """events(event_time, machine_id, event_type, duration_s) by window and machine; `watermark` None keeps the one it has."""
+    marked = events.withWatermark("event_time", watermark) if watermark else events
     return (
-        events.withWatermark("event_time", watermark)
-        .groupBy(F.window("event_time", window).alias("w"), "machine_id")
+        marked.groupBy(F.window("event_time", window).alias("w"), "machine_id")
         .agg(
             F.count(F.lit(1)).alias("event_count"),
             F.count_if(F.col("event_type") == "cycle").alias("cycle_count"),
