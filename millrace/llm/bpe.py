@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import table
 
 #: Encoded pieces that a task keeps before it starts afresh.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 300_000
 NONE = np.int64(1 << 40)
 
 
@@ -188,7 +188,7 @@ def piece_ids(replay: MergeReplay, cache: dict[str, bytes], pieces: list[list[st
     cache.update(zip(new, replay.encode([p.encode() for p in new]), strict=True))
 
 
-def blocks(sizes: list[int], most: int = 16_000_000) -> Iterator[tuple[int, int]]:
+def blocks(sizes: list[int], most: int = 5_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes add up to about `most`, one row at least."""
     begin, total = 0, 0
     for i, size in enumerate(sizes):

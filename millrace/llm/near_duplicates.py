@@ -11,10 +11,11 @@ order), and two such sets meet there. So no link is lost.
 Candidates are never expanded to all pairs of a group. Documents with equal sets are one class.
 Within a block of a scan, classes that share a signature are compared with the least of them at
 once; those that match travel no further, so a huge group of near copies sends one row per
-block and signature. In the shuffle's buckets every class is paired with the least class
-only. A bucket of over HOT classes comes from a group of near copies or from a passage that many
+block and signature. In the shuffle, a bucket of at most HOT classes gives its few pairs. One of more comes from a group of near copies or from a passage that many
 documents share. A class whose other signatures still keep the guarantee leaves such buckets; only classes that
-depend on them stay, so a common passage pairs nothing. Candidates pass an exact lower bound on the difference (parities of 1,024
+depend on them are joined among themselves by the rarest shingles of their prefixes (rarity counted exactly
+over them), each paired with the least class of a shingle only. So a common passage pairs nothing, and a group of near
+copies does not expand to all pairs. Candidates pass an exact lower bound on the difference (parities of 1,024
 buckets), then the sets themselves are compared. A class that its star leaves in another component is
 then compared with the others of that star, less those that the triangle inequality rules
 out. That completes the join: links within a component that is already joined need not be known.
@@ -29,7 +30,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import blocks
@@ -43,6 +45,8 @@ PARTS, SKETCH_BITS = 3, 1024
 #: Classes in a bucket beyond which it is left to those that depend on it.
 HOT = 8
 COLD, KNOWN, CROWDED, SLACK = range(4)
+#: Classes of a star that meet all the others first, in each of two rounds before the rest do.
+PIVOTS = (16, 16)
 MEASURED = ["a", "b", "n_a", "n_b", "differ", "linked"]
 #: Ids that may be broadcast to pick documents out of the scan; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
@@ -81,9 +85,16 @@ def set_key(s: np.ndarray) -> int:
     return xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def sketch(s: np.ndarray) -> bytes:
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the set's shingles in SKETCH_BITS places, as 64-bit integers."""
     at = (s & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+    return np.packbits(np.bincount(at, minlength=SKETCH_BITS).astype(np.uint8) & 1).view(np.int64)
+
+
+def least_different(a: str, b: str) -> Column:
+    """A lower bound of the difference of two sets by their sketches: places with other parity."""
+    words = (F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH_BITS // 64))
+    return sum(words, F.lit(0)).cast("long")
 
 
 def linked(common: int, a: int, b: int) -> bool:
@@ -152,45 +163,53 @@ def document_sets(documents: DataFrame) -> DataFrame:
                 batch.column("doc_id").slice(begin, end - begin),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()),
-                pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "key", "sketch"])
 
-    return documents.mapInArrow(run, "doc_id long, n_shingles long, key long, sketch binary")
+    return documents.mapInArrow(run, "doc_id long, n_shingles long, key long, sketch array<bigint>")
 
 
 def local_links(keys: np.ndarray, sets: list[np.ndarray], sigs: list[np.ndarray]):
-    """Of one block's classes: (rows to shuffle as owner index and signature, verified (least, other,
-    difference) with the two by index)."""
+    """Of one block's classes: rows to shuffle (owner by index, signature, classes it stands for), verified
+    (least, other, difference) with the two by index, and the rows that each class left out.
+
+    Only buckets of over HOT classes in this block alone are thinned out: those are crowded in any case.
+    """
     size = np.array([len(x) for x in sigs], dtype=np.int64)
     owner, sig = np.repeat(np.arange(len(sigs)), size), np.concatenate(sigs)
-    by_key = np.argsort(keys, kind="stable")
     rank = np.empty(len(keys), dtype=np.int64)
-    rank[by_key] = np.arange(len(keys))
+    rank[np.argsort(keys, kind="stable")] = np.arange(len(keys))
     order = np.lexsort((rank[owner], sig))
     owner, sig = owner[order], sig[order]
-    first = np.append(True, sig[1:] != sig[:-1])
-    head = owner[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-    others = np.flatnonzero(~first)
+    first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    count = np.diff(np.append(first, len(sig)))
+    bucket = np.repeat(np.arange(len(first)), count)
+    others = np.flatnonzero((count[bucket] > HOT) & (np.arange(len(sig)) != first[bucket]))
+    weight, left_out = np.ones(len(sig), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
     if not len(others):
-        return owner, sig, np.zeros((0, 3), np.int64)
-    pair = head[others] * len(keys) + owner[others]
-    distinct, place = np.unique(pair, return_inverse=True)
+        return owner, sig, weight, np.zeros((0, 3), np.int64), left_out
+    head = first[bucket[others]]
+    distinct, place = np.unique(owner[head] * len(keys) + owner[others], return_inverse=True)
     match, differ = np.zeros(len(distinct), dtype=bool), np.zeros(len(distinct), dtype=np.int64)
     for i, p in enumerate(distinct.tolist()):
         a, b = sets[p // len(keys)], sets[p % len(keys)]
         if LEAST * max(len(a), len(b)) <= OF * min(len(a), len(b)):
             common = len(np.intersect1d(a, b, assume_unique=True))
             match[i], differ[i] = linked(common, len(a), len(b)), len(a) + len(b) - 2 * common
+    gone = others[match[place]]
+    np.add.at(weight, head[match[place]], 1)
+    np.add.at(left_out, owner[gone], 1)
     keep = np.ones(len(sig), dtype=bool)
-    keep[others[match[place]]] = False
+    keep[gone] = False
     found = distinct[match]
-    return owner[keep], sig[keep], np.stack([found // len(keys), found % len(keys), differ[match]], axis=1)
+    pairs = np.stack([found // len(keys), found % len(keys), differ[match]], axis=1)
+    return owner[keep], sig[keep], weight[keep], pairs, left_out
 
 
 def block_links(documents: DataFrame, parts: int) -> DataFrame:
-    """Rows (part, kind, a, b, c) of packed 64-bit integers: COLD has classes and their signatures of that
-    part, KNOWN links found within a block and their differences, SLACK classes and their slack."""
+    """Rows (part, kind, a, b, c) of packed 64-bit integers: COLD has classes, their signatures of that part and how many
+    each stands for, KNOWN links found within a block and their differences, SLACK classes and their slack."""
 
     def run(batches):
         import pyarrow as pa
@@ -207,15 +226,16 @@ def block_links(documents: DataFrame, parts: int) -> DataFrame:
             keys = np.array(list(new), dtype=np.int64)
             signed = [signatures(s) for s in new.values()]
             slack = np.array([x for _, x in signed], dtype=np.int64)
-            owner, sig, pairs = local_links(keys, list(new.values()), [x for x, _ in signed])
+            owner, sig, weight, pairs, left_out = local_links(keys, list(new.values()), [x for x, _ in signed])
+            slack -= left_out  # all that was left out stood in crowded buckets
             del signed
             part = (sig % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part * len(keys) + owner, kind="stable")
-            owner, sig, part = keys[owner[order]], sig[order], part[order]
+            owner, sig, weight, part = keys[owner[order]], sig[order], weight[order], part[order]
             edge = np.append(0, np.flatnonzero(np.diff(part)) + 1)
             rows = [
-                (int(p), COLD, o.tobytes(), x.tobytes(), b"")
-                for p, o, x in zip(part[edge], np.split(owner, edge[1:]), np.split(sig, edge[1:]), strict=True)
+                (int(p), COLD, o.tobytes(), x.tobytes(), w.tobytes())
+                for p, o, x, w in zip(part[edge], *(np.split(v, edge[1:]) for v in (owner, sig, weight)), strict=True)
             ]
             own = int(keys[0]) % parts
             rows.append((own, SLACK, keys.tobytes(), slack.tobytes(), bytes(8 * len(keys))))
@@ -230,7 +250,7 @@ def block_links(documents: DataFrame, parts: int) -> DataFrame:
 
 
 def bucket_stars(rows: DataFrame) -> DataFrame:
-    """Rows (kind, a, b, c): COLD the least class of a bucket and another of it; KNOWN a verified link and its
+    """Rows (kind, a, b, c): COLD two classes of a bucket of at most HOT; KNOWN a verified link and its
     difference; CROWDED a signature and a class of a bucket over HOT; SLACK a class and its slack."""
 
     def run(batches):
@@ -243,36 +263,42 @@ def bucket_stars(rows: DataFrame) -> DataFrame:
                 names=["kind", "a", "b", "c"],
             )
 
-        keys, sigs = [], []
+        keys, sigs, weights = [], [], []
         for batch in batches:
             for kind, a, b, c in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3, 4)], strict=True):
                 if kind == COLD:
                     keys.append(np.frombuffer(a, dtype=np.int64))
                     sigs.append(np.frombuffer(b, dtype=np.int64))
+                    weights.append(np.frombuffer(c, dtype=np.int64).astype(np.int32))
                 else:
                     yield out(kind, *[np.frombuffer(x, dtype=np.int64) for x in (a, b, c)])
         if not keys:
             return
-        key, sig = np.concatenate(keys), np.concatenate(sigs)
-        del keys, sigs
+        key, sig, weight = np.concatenate(keys), np.concatenate(sigs), np.concatenate(weights)
+        del keys, sigs, weights
         order = np.argsort(sig, kind="stable")
         sig = sig[order]
         equal = sig[1:] == sig[:-1]
-        many = np.flatnonzero(np.append(equal, False) | np.append(False, equal))
+        many = np.flatnonzero(np.append(equal, False) | np.append(False, equal) | (weight[order] > 1))
         if not len(many):
             return
-        sig, key = sig[many], key[order[many]]
+        sig, key, weight = sig[many], key[order[many]], weight[order[many]]
         order = np.lexsort((key, sig))
-        sig, key = sig[order], key[order]
-        fresh = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]))  # a class may come from several tasks
-        sig, key = sig[fresh], key[fresh]
+        sig, key, weight = sig[order], key[order], weight[order]
         first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         size = np.diff(np.append(first, len(sig)))
-        head, crowd = np.repeat(key[first], size), np.repeat(size, size) > HOT
-        cold = ~crowd & (head != key)
-        pairs = np.unique(np.stack([head[cold], key[cold]], axis=1), axis=0)
-        yield out(COLD, pairs[:, 0], pairs[:, 1])
+        crowd = np.repeat(np.add.reduceat(weight, first), size) > HOT
+        fresh = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]))  # a class may come from several tasks
+        bucket = np.repeat(np.arange(len(first)), size)[fresh]
+        sig, key, crowd = sig[fresh], key[fresh], crowd[fresh]
         yield out(CROWDED, sig[crowd], key[crowd])
+        bucket, key = bucket[~crowd], key[~crowd]
+        near = [np.zeros((0, 2), np.int64)]
+        for d in range(1, HOT):
+            at = np.flatnonzero(bucket[d:] == bucket[:-d])
+            near.append(np.unique(np.stack([key[at], key[at + d]], axis=1), axis=0))
+        pairs = np.unique(np.concatenate(near), axis=0)
+        yield out(COLD, pairs[:, 0], pairs[:, 1])
 
     return rows.mapInArrow(run, "kind int, a long, b long, c long")
 
@@ -289,7 +315,7 @@ class Verifier:
         rough = cut(self._rough(pairs))
         near = rough.where("linked")
         need = cut(near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "key"))
-        sets = self._sets(need, need.count())
+        sets = self.sets(need)
         a, b = (sets.select(F.col("key").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
         common = F.size(F.array_intersect("set_a", "set_b"))
         differ = F.col("n_a") + F.col("n_b") - 2 * common
@@ -310,23 +336,17 @@ class Verifier:
             for c in "ab"
         )
 
-        def run(batches):
-            import pyarrow as pa
-
-            ones = np.array([bin(i).count("1") for i in range(256)], dtype=np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x, y = (np.frombuffer(b"".join(batch.column(f"s_{c}").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH_BITS // 8) for c in "ab")
-                na, nb = (batch.column(f"n_{c}").to_numpy() for c in "ab")
-                differ = np.maximum(ones[x ^ y].sum(axis=1), np.abs(na - nb))
-                near = differ <= (na + nb) * (OF - LEAST) // (OF + LEAST)
-                columns = [*(batch.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(differ, pa.int64()), pa.array(near, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, names=MEASURED)
-
-        return pairs.join(b, "b").join(a, "a").mapInArrow(run, "a long, b long, n_a long, n_b long, differ long, linked boolean")
+        differ = F.greatest(least_different("s_a", "s_b"), F.abs(F.col("n_a") - F.col("n_b")))
+        return (
+            pairs.join(b, "b")
+            .join(a, "a")
+            .select("a", "b", "n_a", "n_b", differ.alias("differ"))
+            .withColumn("linked", OF_SUM * F.col("differ") <= LEAST_SUM * (F.col("n_a") + F.col("n_b")))
+        )
 
-    def _sets(self, need: DataFrame, n: int) -> DataFrame:
+    def sets(self, need: DataFrame) -> DataFrame:
+        """key, members of the classes in need(key)."""
+        n = need.count()
         picked = self.classes.join(need, "key").select(F.col("doc").alias("doc_id"), "key")
 
         def run(batches):
@@ -355,20 +375,34 @@ def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return both.where("c_a <> c_b").drop("c_a", "c_b")
 
 
-def crowded_pairs(stars: DataFrame, local: DataFrame) -> DataFrame:
-    """Star pairs of the crowded buckets among the classes that depend on them.
-
-    A class depends on them if it signs in more of them than its slack, or if it has a link found in a block (as it
-    may stand there for others).
-    """
-    crowded = stars.where(F.col("kind") == CROWDED).select(F.col("a").alias("sig"), F.col("b").alias("key"))
+def dependent_classes(stars: DataFrame, local: DataFrame) -> DataFrame:
+    """key: classes that sign in more crowded buckets than their slack, and those that stand for one that does."""
+    crowded = stars.where(F.col("kind") == CROWDED).select(F.col("b").alias("key"))
     used = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("used"))
     slack = stars.where(F.col("kind") == SLACK).groupBy(F.col("a").alias("key")).agg(F.min("b").alias("slack"))
-    depends = used.join(slack, "key").where("used > slack").select("key")
-    depends = depends.union(local.select("a")).union(local.select("b")).distinct()
-    rows = cut(crowded.join(depends, "key", "left_semi"))
-    heads = rows.groupBy("sig").agg(F.min("key").alias("a"))
-    return rows.join(heads, "sig").where("a <> key").select("a", F.col("key").alias("b"))
+    depends = slack.join(used, "key", "left").where(F.coalesce("used", F.lit(0)) > F.col("slack")).select("key")
+    behind = local.join(depends.withColumnRenamed("key", "b"), "b", "left_semi").select(F.col("a").alias("key"))
+    return depends.union(behind).distinct()
+
+
+def rare_prefix_stars(sets: DataFrame) -> DataFrame:
+    """Star pairs (a, b) of sets(key, members) by the shingles of their prefixes, rarest first.
+
+    Shingles of one set only have no partner; the rest of a prefix is what remains after them.
+    """
+    sized = sets.select("key", F.size("members").alias("n"), F.explode("members").alias("token"))
+    common = sized.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    ordered = (
+        sized.join(common, "token")
+        .groupBy("key")
+        .agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("t"))
+    )
+    prefix = F.col("n") - F.ceil(F.col("n") * LEAST / OF).cast("int") + 1
+    left = prefix - (F.col("n") - F.size("t"))
+    rows = ordered.where(left > 0).select("key", F.explode(F.slice("t", F.lit(1), left)).alias("x")).select("key", "x.token")
+    rows = cut(rows)
+    heads = rows.groupBy("token").agg(F.min("key").alias("a"))
+    return rows.join(heads, "token").where("a <> key").select("a", F.col("key").alias("b")).distinct()
 
 
 def class_links(documents: DataFrame, classes: DataFrame, shingle_total: int) -> DataFrame:
@@ -380,8 +414,10 @@ def class_links(documents: DataFrame, classes: DataFrame, shingle_total: int) ->
     stars = stored(bucket_stars(rows), "stars")
     behind = cut(stars.where(F.col("kind") == KNOWN).select("a", "b", F.col("c").alias("differ")).distinct())
     local = behind.select("a", "b")
-    pairs = cut(stars.where(F.col("kind") == COLD).select("a", "b").union(crowded_pairs(stars, local)).distinct())
     verify = Verifier(documents, classes)
+    depends = cut(dependent_classes(stars, local))
+    crowded = cut(rare_prefix_stars(stored(verify.sets(depends), "dependent-sets")))
+    pairs = cut(stars.where(F.col("kind") == COLD).select("a", "b").union(crowded).distinct())
 
     def grown(links: DataFrame, measured: DataFrame) -> tuple[DataFrame, DataFrame]:
         links = links.union(measured.where("linked").select("a", "b"))
@@ -393,15 +429,16 @@ def class_links(documents: DataFrame, classes: DataFrame, shingle_total: int) ->
     rest = pairs.join(least, ["a", "b"], "left_anti")
     left = verify.measure(apart(rest, components))
     links, components = grown(links, left)
-    failed = cut(apart(least.unionByName(left).where("not linked").select("a", "b", "n_b", "differ"), components))
+    known = least.unionByName(left)
+    open_stars = known.where("not linked").join(crowded, ["a", "b"], "left_semi")
+    failed = cut(apart(open_stars.select("a", "b", "n_b", "differ"), components))
     if failed.isEmpty():
         return components
     # the stars of the hubs that a class failed to join, measured whole
     hubs = failed.select("a").distinct()
-    star = pairs.join(hubs, "a", "left_semi")
-    known = least.unionByName(left)
+    star = crowded.join(hubs, "a", "left_semi")
     unknown = star.join(known, ["a", "b"], "left_anti")
-    star = cut(known.join(hubs, "a", "left_semi").unionByName(verify.measure(unknown)))
+    star = cut(known.join(star, ["a", "b"], "left_semi").unionByName(verify.measure(unknown)))
     upper = F.when(F.col("linked"), F.col("differ")).otherwise(F.col("n_a") + F.col("n_b"))
     sizes = classes.select(F.col("key").alias("b"), F.col("n_shingles").alias("n"))
     # a class with those that stood behind it in its block, each at its difference from the class
@@ -418,16 +455,34 @@ def class_links(documents: DataFrame, classes: DataFrame, shingle_total: int) ->
     hub_itself = star.select(F.col("a").alias("hub"), F.col("a").alias("x"), F.col("n_a").alias("n"), F.lit(0).cast("long").alias("d"))
     members = star.select(F.col("a").alias("hub"), F.col("b").alias("x"), F.col("n_b").alias("n"), upper.alias("d"))
     inner = with_group(hub_itself.distinct().unionByName(members), 1)
-    o, i = (df.select("hub", *[F.col(c).alias(f"{c}_{k}") for c in ("x", "n", "d")]) for df, k in ((outer, "o"), (inner, "i")))
-    met = (
-        o.join(i, "hub")
-        .where(F.col("x_o") != F.col("x_i"))
-        .where(OF_SUM * (F.col("d_o") - F.col("d_i")) <= LEAST_SUM * (F.col("n_o") + F.col("n_i")))
-        .select(F.least("x_o", "x_i").alias("a"), F.greatest("x_o", "x_i").alias("b"))
-        .distinct()
-    )
-    met = apart(met, components).join(known, ["a", "b"], "left_anti")
-    return grown(links, verify.measure(met))[1]
+    sketches = classes.select(F.col("key").alias("x"), F.col("sketch").alias("s"))
+    outer, inner = cut(outer.join(sketches, "x")), cut(inner.join(sketches, "x"))
+    tested = known.select("a", "b").unionByName(star.select("a", "b"))
+    by_hash = W.partitionBy("hub").orderBy(F.xxhash64("x_o"), "x_o")
+    for pivots in (*PIVOTS, None):
+        o, i = (
+            component_of(df.select("hub", *[F.col(c).alias(f"{c}_{k}") for c in ("x", "n", "d", "s")]), components, f"x_{k}")
+            for df, k in ((outer, "o"), (inner, "i"))
+        )
+        # those that are still apart from their hub; a few of them first, as most others join through these
+        o = component_of(o, components, "hub").where("c_hub <> c_x_o").drop("c_hub")
+        if pivots:
+            o = o.withColumn("turn", F.row_number().over(by_hash)).where(F.col("turn") <= pivots).drop("turn")
+        met = (
+            o.join(i, "hub")
+            .where(F.col("c_x_o") != F.col("c_x_i"))
+            .where(OF_SUM * (F.col("d_o") - F.col("d_i")) <= LEAST_SUM * (F.col("n_o") + F.col("n_i")))
+            .where(OF_SUM * least_different("s_o", "s_i") <= LEAST_SUM * (F.col("n_o") + F.col("n_i")))
+            .select(F.least("x_o", "x_i").alias("a"), F.greatest("x_o", "x_i").alias("b"))
+            .distinct()
+        )
+        met = cut(met.join(tested, ["a", "b"], "left_anti"))
+        if met.isEmpty():
+            continue
+        found = verify.measure(met)
+        tested = tested.unionByName(met)
+        links, components = grown(links, found)
+    return components
 
 
 def near_duplicate_components(documents: DataFrame) -> DataFrame:
