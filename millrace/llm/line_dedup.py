@@ -31,7 +31,7 @@ from millrace.llm.common import SPACE, cut, let, small_or_not, stored, table
 SHINGLE, LEAST, OF = 5, 80, 100
 #: Lines that a token may have before it counts as frequent.
 CROWDED = 16
-#: Rows of per-document removals that may be broadcast back to the documents.
+#: Rows of a few numbers that may be broadcast; more are shuffled.
 BROADCAST_ROWS = 2_000_000
 
 
@@ -113,8 +113,9 @@ def later_matches(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = stored(distinct_lines(documents), "lines")
     all_rows = stored(buckets(tokens(lines)), "buckets")
     rows = stored(useful(all_rows), "useful")
-    keys = rows.select("key").distinct()
-    sets = stored(tokens(lines.join(keys, "key", "left_semi")).select("key", "t"), "line-sets")
+    keys = cut(rows.select("key").distinct())
+    near = lines.join(small_or_not(keys, keys.count(), BROADCAST_ROWS), "key", "left_semi")
+    sets = stored(tokens(near).select("key", "t"), "line-sets")
     most = rows.agg(F.max("rank")).first()[0] or 0
     open_rows, found, low, high = rows, None, 0, 1
     while low < most:
@@ -133,10 +134,14 @@ def later_matches(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             .select("key", "e_key")
             .distinct()
         )
-        a, b = sets.select("key", F.col("t").alias("t_a")), sets.select(F.col("key").alias("e_key"), F.col("t").alias("t_b"))
+        pairs = cut(pairs)
+        few = small_or_not(pairs, pairs.count(), BROADCAST_ROWS)
+        # the pairs go to the sets, so only sets that a pair needs are shuffled, to where both of it meet
+        a = sets.select("key", F.col("t").alias("t_a")).join(few, "key")
+        b = sets.select(F.col("key").alias("e_key"), F.col("t").alias("t_b")).join(few, "e_key")
         common = F.size(F.array_intersect("t_a", "t_b"))
         hit = OF * common >= LEAST * (F.size("t_a") + F.size("t_b") - common)
-        matched = cut(pairs.join(a, "key").join(b, "e_key").where(hit).select("key").distinct())
+        matched = cut(a.join(b, ["key", "e_key"]).where(hit).select("key").distinct())
         found = matched if found is None else found.union(matched)
         low, high = high, high * 8
         if low < most:
