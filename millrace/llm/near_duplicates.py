@@ -51,9 +51,9 @@ MEASURED = ["a", "b", "n_a", "n_b", "differ", "linked"]
 #: Ids that may be broadcast to pick documents out of the scan; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 #: Bytes of signatures that one task of the shuffle should read.
-TASK_BYTES = 24_000_000
+TASK_BYTES = 6_000_000
 #: Characters of text whose sets a task holds at once.
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 2_000_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
