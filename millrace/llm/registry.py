@@ -10,6 +10,7 @@ from millrace.llm.line_dedup import op2_line_dedup
 from millrace.llm.near_duplicates import op9_ngram_jaccard
 from millrace.llm.quality_classifier import op7_quality
 from millrace.llm.quality_rules import op1_quality_rules
+from millrace.llm.sql import ORACLE_SQL
 from millrace.llm.token_counts import op4_token_counts
 from millrace.llm.toxicity import op10_toxicity
 
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
