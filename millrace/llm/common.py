@@ -6,6 +6,7 @@ clashing names in the input cannot disturb it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """After rounds of cuts: Spark deletes the shuffle files of a finished round once the driver has
+    collected what referred to them, which may otherwise be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Like cut(), as Parquet: compressed and prunable by column, for the larger intermediates."""
     spark = df.sparkSession

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, release
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         # large star: each node's larger neighbours move to its least neighbour
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: a node and its smaller neighbours move to the least of them
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         moved = edges.join(least, "u")
@@ -39,5 +39,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
+    release(links.sparkSession)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -45,8 +45,8 @@ PARTS, SKETCH_BITS = 3, 1024
 #: Classes in a bucket beyond which it is left to those that depend on it.
 HOT = 8
 COLD, KNOWN, CROWDED, SLACK = range(4)
-#: Classes of a star that meet all the others first, in each of two rounds before the rest do.
-PIVOTS = (16, 16)
+#: Classes of a star that meet all the others first, before the rest do.
+PIVOTS = (32,)
 MEASURED = ["a", "b", "n_a", "n_b", "differ", "linked"]
 #: Ids that may be broadcast to pick documents out of the scan; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
@@ -428,7 +428,8 @@ def class_links(documents: DataFrame, classes: DataFrame, shingle_total: int) ->
     links, components = grown(local, least)
     rest = pairs.join(least, ["a", "b"], "left_anti")
     left = verify.measure(apart(rest, components))
-    links, components = grown(links, left)
+    if not left.where("linked").isEmpty():
+        links, components = grown(links, left)
     known = least.unionByName(left)
     open_stars = known.where("not linked").join(crowded, ["a", "b"], "left_semi")
     failed = cut(apart(open_stars.select("a", "b", "n_b", "differ"), components))
@@ -481,7 +482,8 @@ def class_links(documents: DataFrame, classes: DataFrame, shingle_total: int) ->
             continue
         found = verify.measure(met)
         tested = tested.unionByName(met)
-        links, components = grown(links, found)
+        if not found.where("linked").isEmpty():
+            links, components = grown(links, found)
     return components
 
 
