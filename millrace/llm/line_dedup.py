@@ -31,8 +31,9 @@ from millrace.llm.common import SPACE, cut, let, small_or_not, stored, table
 SHINGLE, LEAST, OF = 5, 80, 100
 #: Lines that a token may have before it counts as frequent.
 CROWDED = 16
-#: Rows of a few numbers that may be broadcast; more are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Rows of a few numbers that may be broadcast; up to BLOCKS times as many candidate pairs go in that many
+#: blocks, and more are shuffled.
+BROADCAST_ROWS, BLOCKS = 400_000, 8
 
 
 def line_words(line: Column) -> Column:
@@ -108,6 +109,22 @@ def useful(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("size") <= CROWDED).unionByName(kept).select("token", "key", "n", "pos", "rank")
 
 
+def matching(pairs: DataFrame, n: int, sets: DataFrame) -> DataFrame:
+    """key of each of the n pairs (key, e_key) whose sets match, cut."""
+    blocks = -(-n // BROADCAST_ROWS) if n <= BLOCKS * BROADCAST_ROWS else 1
+    common = F.size(F.array_intersect("t_a", "t_b"))
+    hit = OF * common >= LEAST * (F.size("t_a") + F.size("t_b") - common)
+    out = sets.select("key").limit(0)
+    for i in range(blocks):
+        part = pairs.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i) if blocks > 1 else pairs
+        few = small_or_not(part, -(-n // blocks), BROADCAST_ROWS)
+        # the pairs go to the sets, so only sets that a pair needs are shuffled, to where both of it meet
+        a = sets.select("key", F.col("t").alias("t_a")).join(few, "key")
+        b = sets.select(F.col("key").alias("e_key"), F.col("t").alias("t_b")).join(few, "e_key")
+        out = out.union(cut(a.join(b, ["key", "e_key"]).where(hit).select("key").distinct()))
+    return out
+
+
 def later_matches(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(distinct lines, keys whose first line matches an earlier line of other words)."""
     lines = stored(distinct_lines(documents), "lines")
@@ -135,13 +152,7 @@ def later_matches(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             .distinct()
         )
         pairs = cut(pairs)
-        few = small_or_not(pairs, pairs.count(), BROADCAST_ROWS)
-        # the pairs go to the sets, so only sets that a pair needs are shuffled, to where both of it meet
-        a = sets.select("key", F.col("t").alias("t_a")).join(few, "key")
-        b = sets.select(F.col("key").alias("e_key"), F.col("t").alias("t_b")).join(few, "e_key")
-        common = F.size(F.array_intersect("t_a", "t_b"))
-        hit = OF * common >= LEAST * (F.size("t_a") + F.size("t_b") - common)
-        matched = cut(a.join(b, ["key", "e_key"]).where(hit).select("key").distinct())
+        matched = matching(pairs, pairs.count(), sets)
         found = matched if found is None else found.union(matched)
         low, high = high, high * 8
         if low < most:

@@ -51,9 +51,10 @@ def corpus(seed):
     return [*docs, (60, None), (61, ""), (62, "one two three four five\nONE two  three four five\t\none two three four")]
 
 
-@pytest.mark.parametrize(("seed", "crowded"), [(1, 16), (2, 2), (3, 1)])
-def test_matches_brute_force(spark, monkeypatch, seed, crowded):
+@pytest.mark.parametrize(("seed", "crowded", "broadcast"), [(1, 16, 400_000), (2, 2, 20), (3, 1, 1)])
+def test_matches_brute_force(spark, monkeypatch, seed, crowded, broadcast):
     monkeypatch.setattr(ld, "CROWDED", crowded)
+    monkeypatch.setattr(ld, "BROADCAST_ROWS", broadcast)
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute(rows)
