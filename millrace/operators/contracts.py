@@ -76,13 +76,14 @@ def _typed(variant: Column, path: str, kind: str) -> tuple[Column, Column]:
     return value.isNotNull(), number
 
 
-def contract_errors(value: Column, version: int | None = None) -> Column:
+def contract_errors(value: Column, version: int | None = None, variant: Column | None = None) -> Column:
     """Sorted array of messages for one message's JSON text; empty if it meets the contract.
 
     Without `version` the declared one applies; an unknown one is an error by itself. Formats are notes
-    only, and payloads of other event types than cycle are free.
+    only, and payloads of other event types than cycle are free. `variant` is the parsed text, where the caller has it
+    as a column: every rule looks into it.
     """
-    variant = F.try_parse_json(value)
+    variant = F.try_parse_json(value) if variant is None else variant
     keys = F.coalesce(F.json_object_keys(value), F.array().cast("array<string>"))
     has = lambda k: F.array_contains(keys, k)
     declared = F.try_variant_get(variant, "$.schema_version", "double")
@@ -129,10 +130,12 @@ def contract_errors(value: Column, version: int | None = None) -> Column:
 
 def validate(messages: DataFrame, version: int | None = None) -> DataFrame:
     """messages(value) with `errors`; text that is no JSON object is left out, as corrupt."""
-    objects = messages.where(F.json_object_keys("value").isNotNull() & F.try_parse_json("value").isNotNull())
-    return objects.where(~F.array_contains(F.json_object_keys("value"), "_raw")).withColumn(
-        "errors", contract_errors(F.col("value"), version)
+    parsed = messages.select("*", F.json_object_keys("value").alias("__keys"), F.try_parse_json("value").alias("__variant"))
+    objects = parsed.where(
+        F.col("__keys").isNotNull() & F.col("__variant").isNotNull() & ~F.array_contains("__keys", "_raw")
     )
+    errors = contract_errors(F.col("value"), version, F.col("__variant"))
+    return objects.withColumn("errors", errors).drop("__keys", "__variant")
 
 
 def contract_check(messages: DataFrame, examples: int = 3) -> dict:
