@@ -9,8 +9,8 @@ Distinct lines are joined by their prefixes in an order of tokens by rarity with
 at most CROWDED lines come first, in the order of their 64-bit hashes, then the frequent ones. Frequencies are not known
 beforehand (counting every shingle would shuffle far more than the prefixes do), so prefixes are taken in
 hash order with some tokens to spare. Two similar lines then share more tokens of their prefixes than
-the spare ones, and a line with no more frequent tokens than that finds each partner by a rare token;
-it leaves the frequent ones. Only lines that have too few rare tokens keep them. So a passage that many lines share pairs
+the spare ones (or all that they share: a set of one token has none to spare), and a line with no more frequent
+tokens than that finds each partner by a rare token; it leaves the frequent ones. Only lines that have too few rare tokens keep them. So a passage that many lines share pairs
 nothing, and no partner is lost. Length and positional filters prune, and the token sets are compared.
 
 No bucket is expanded to all pairs: the lines of a bucket are ranked by place in the corpus, and a line is
@@ -102,8 +102,10 @@ def _by_place():
 def useful(rows: DataFrame) -> DataFrame:
     """The buckets of rare tokens, and those of frequent ones with only the lines that depend on them."""
     frequent = rows.where(F.col("size") > CROWDED)
-    # a partner may be shorter, to LEAST in the hundred, and then have fewer tokens to spare
-    least_spare = spare(F.ceil(F.col("n") * LEAST / OF))
+    # a partner may be shorter, to LEAST in the hundred, and then have fewer tokens to spare; a match has no more
+    # tokens in common than the set has, so of a single token there is none to spare
+    least = F.ceil(F.col("n") * LEAST / OF)
+    least_spare = F.least(spare(least), least.cast("int") - 1)
     depends = frequent.groupBy("key").agg(F.count(F.lit(1)).alias("used"), F.first("n").alias("n")).where(F.col("used") > least_spare)
     kept = frequent.join(depends.select("key"), "key", "left_semi").withColumn("rank", F.row_number().over(_by_place()))
     return rows.where(F.col("size") <= CROWDED).unionByName(kept).select("token", "key", "n", "pos", "rank")

@@ -70,3 +70,13 @@ def test_columns_pass_through_and_empty_tables(spark):
     got = sorted((str(r.doc_id), r.text, r.removed) for r in ld.dedup_lines(df).collect())
     assert got == [("1", "z", "y"), ("1", "z", "y"), ("None", "a b c d e", "x")]
     assert ld.dedup_lines(df.limit(0)).collect() == []
+
+
+def test_sets_of_one_shingle_match_in_frequent_buckets(spark):
+    """20 lengths of one repeated word have equal sets of one shingle and different keys; longer lines share it too."""
+    rows = [(i, "\n".join(w + f" {w}" * (4 + i) for w in ("-", "ha"))) for i in range(20)]
+    rows += [(20 + i, f"- - - - - a{i} b{i} c{i}\na{i} b{i} c{i} - - - - -") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r["__removed"] or [] for r in ld.dedup_lines(df).collect()}
+    assert got == brute(rows)
+    assert all(got[i] == [0, 1] for i in range(1, 20)) and got[0] == []
