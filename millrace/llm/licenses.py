@@ -8,6 +8,11 @@ SAMPLE_CHARS characters) as `none`. A paragraph that is likelier a licence than
 family's calibrated probability reaches a threshold and a template's word pairs are contained in it to
 CONFIRM or more; otherwise it is `unknown`.
 
+Notices are often wrapped. So within a block of consecutive lines that have words, every run of words that
+goes over a line's end, holds CONFIRM of a template's word pairs and is at most STRETCH times as long as the
+template is classified and confirmed like a paragraph, however the block is wrapped and however long it is.
+The lines of a confirmed run are licence paragraphs of its family.
+
 Defined cases: null and empty texts have no paragraphs and the family `none`; an empty table gives no
 rows; repeated rows get equal results.
 """
@@ -74,7 +79,7 @@ TEMPLATES = {
 }
 
 SAMPLE_ROWS, SAMPLE_CHARS, COPIES, EPOCHS, RATE, DECAY = 400, 5000, 60, 60, 0.5, 1e-3
-CONFIRM, FALSE_ALARM = 0.8, 0.02
+CONFIRM, FALSE_ALARM, STRETCH = 0.8, 0.02, 2
 NONE, UNKNOWN = "none", "unknown"
 
 _WORDS = re.compile(r"[^\W_]+(?:\.\d+)*").findall
@@ -104,6 +109,9 @@ class LicenceModel:
         self.threshold, self.temperature = 0.5, 1.0
         self.templates = texts
         self.pairs = [(self.families.index(f), set(zip(ws, ws[1:], strict=False))) for f, ws in texts]
+        coded = [np.unique(self.coded(self.ids(ws), 2)[0]) for _, ws in texts]
+        self.pair_codes = np.unique(np.concatenate(coded))
+        self.has_pair = np.array([np.isin(self.pair_codes, c) for c in coded])
 
     def ids(self, words: list[str]) -> np.ndarray:
         get = self.word.get
@@ -178,10 +186,47 @@ class LicenceModel:
         own = set(zip(words, words[1:], strict=False))
         return max((len(p & own) / len(p) for f, p in self.pairs if p and f == family), default=0.0)
 
+    def runs(self, ids: np.ndarray, line: np.ndarray, block: np.ndarray) -> list[tuple[int, int]]:
+        """Words [from, to) of one block and several lines that hold CONFIRM of a template's word pairs.
+
+        ids, line, block: of each word of a document.
+        """
+        code, at = self.coded(ids, 2)
+        place = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
+        hit = (self.pair_codes[place] == code) & (block[at] == block[at + 1])
+        place, at = place[hit], at[hit]
+        here = self.has_pair[:, np.unique(place)].sum(axis=1)
+        size = self.has_pair.sum(axis=1)
+        out = set()
+        for t in np.flatnonzero((size > 0) & (here >= CONFIRM * size)).tolist():
+            mine = self.has_pair[t][place]
+            pair, pos = place[mine].tolist(), at[mine].tolist()
+            where, longest = block[at[mine]].tolist(), STRETCH * len(self.templates[t][1])
+            held: dict[int, int] = {}
+            left = right = 0
+            while right < len(pair):
+                held[pair[right]] = held.get(pair[right], 0) + 1
+                while where[left] != where[right] or pos[right] + 2 - pos[left] > longest or held[pair[left]] > 1:
+                    held[pair[left]] -= 1
+                    if not held[pair[left]]:
+                        del held[pair[left]]
+                    left += 1
+                right += 1
+                if len(held) < CONFIRM * size[t]:
+                    continue
+                while right < len(pair) and where[right] == where[left] and pos[right] + 2 - pos[left] <= longest and pair[right] not in held:
+                    held[pair[right]] = 1
+                    right += 1
+                if line[pos[left]] != line[pos[right - 1] + 1]:
+                    out.add((pos[left], pos[right - 1] + 2))
+                held, left = {}, right
+        return sorted(out)
+
     def scan(self, text: str | None) -> tuple[str, float, int, int, str]:
         """Best family, its probability, paragraphs, licence paragraphs, all families found."""
-        lines = [ws for line in (text or "").split("\n") if (ws := words_of(line))]
-        best, families, found = (NONE, 0.0), set(), 0
+        split = [words_of(line) for line in (text or "").split("\n")]
+        lines = [ws for ws in split if ws]
+        best, families, found = (NONE, 0.0), set(), set()
         if not lines:
             return NONE, 0.0, 0, 0, ""
         flat: list[str] = []
@@ -189,23 +234,44 @@ class LicenceModel:
             flat += ws
             flat.append("")  # ends a paragraph; no word of any template
         ends = np.cumsum([len(ws) + 1 for ws in lines])
-        feature, at = self.features(self.ids(flat))
+        ids = self.ids(flat)
+        feature, at = self.features(ids)
         of = np.searchsorted(ends, at, side="right")
         key = np.unique(of * len(self.grams) + feature)
         of, feature = key // len(self.grams), key % len(self.grams)
         z = np.zeros((len(lines), len(self.families)))
         np.add.at(z, of, self.weights[feature])
         p = self.probabilities((z + self.bias) / self.temperature)
+        wordless = np.array([not ws for ws in split])
+        line = np.repeat(np.arange(len(lines)), [len(ws) for ws in lines])
+        block = np.cumsum(wordless)[~wordless][line]
+        plain = np.delete(ids, ends - 1)
+        for start, end in self.runs(plain, line, block):
+            family, prob, none = self.judged(plain[start:end])
+            words = [w for ws in lines[line[start] : line[end - 1] + 1] for w in ws]
+            words = words[start - int(np.searchsorted(line, line[start])) :][: end - start]
+            if none < 0.5 and prob >= self.threshold and self.confirmed(words, family) >= CONFIRM:
+                families.add(self.families[family])
+                found.update(range(line[start], line[end - 1] + 1))
+                best = max(best, (self.families[family], prob), key=lambda x: x[1])
         for i in np.flatnonzero(p[:, -1] < 0.5).tolist():
-            found += 1
             family = int(p[i, :-1].argmax())
             prob = float(p[i, family])
             sure = prob >= self.threshold and self.confirmed(lines[i], family) >= CONFIRM
+            if not sure and i in found:
+                continue  # part of a notice
+            found.add(i)
             name = self.families[family] if sure else UNKNOWN
             families.add(name)
             if (sure, prob) > (best[0] not in (NONE, UNKNOWN), best[1]):
                 best = (name, prob)
-        return best[0], best[1], len(lines), found, ",".join(sorted(families))
+        return best[0], best[1], len(lines), len(found), ",".join(sorted(families))
+
+    def judged(self, ids: np.ndarray) -> tuple[int, float, float]:
+        """The likeliest family of words, its probability and that of none."""
+        z = self.weights[np.unique(self.features(ids)[0])].sum(axis=0)
+        p = self.probabilities((z + self.bias) / self.temperature)
+        return int(p[:-1].argmax()), float(p[:-1].max()), float(p[-1])
 
 
 def fit(documents: DataFrame) -> LicenceModel:

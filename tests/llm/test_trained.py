@@ -1,6 +1,7 @@
 """Trained models on small made-up corpora: held-out accuracy, defined cases, and no leak of the held-out fold."""
 
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -104,6 +105,25 @@ def test_licences(licence_model, spark):
     assert got == {1: "mit", None: "none"}
 
 
+@pytest.mark.parametrize(("width", "mark"), [(72, ""), (72, "# "), (40, " * "), (24, "")])
+def test_wrapped_licences(licence_model, width, mark):
+    scan = licence_model.scan
+    for family, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            wrapped = textwrap.wrap(notice, width, break_on_hyphens=False, break_long_words=False)
+            if len(licenses.words_of(notice)) < 4 or len(wrapped) < 2:
+                continue
+            lines = ["Thing of the that.", *wrapped, "And the rest of it."]
+            found = scan("\n".join(mark + line for line in lines))
+            assert found[0] == family and found[4] == family and found[2] == len(lines), (notice, found)
+            assert found[3] >= len(wrapped) - 1
+            long = scan("filler of the words\n" * 5000 + "\n".join(wrapped) + "\nfiller of the words" * 5000)
+            assert long[0] == family, notice
+            # a blank line between all lines: no block holds the notice
+            apart = scan("\n\n".join(w for line in wrapped for w in line.split()))
+            assert apart[0] in (licenses.NONE, licenses.UNKNOWN)
+
+
 def test_token_counts(spark):
     from millrace.llm import token_counts as tc
 
