@@ -59,6 +59,13 @@ def test_toxicity_learns_pairs():
     assert toxicity.FactorizationMachine().fit([], []).score("x") < 0.5
 
 
+def test_toxicity_sample_is_whole(monkeypatch):
+    asked = []
+    monkeypatch.setattr(toxicity, "labelled_sample", lambda *a: asked.append(a[-2]) or [])
+    toxicity.fit(None, None)
+    assert asked == [16_000]
+
+
 def test_quality():
     rnd = random.Random(5)
     good = [prose(rnd, EN, rnd.randint(20, 80)).capitalize() + "." for _ in range(300)]
