@@ -22,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
+    """The folder that driver and executors share; one of our own only where none is named and all run in one process."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -52,6 +55,36 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediates of one operator as Parquet in the shared folder, which go when they are of no more use."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.at = spark, f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        path = f"{self.at}/{len(self.paths)}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that stored() gave and that nothing will read again."""
+        jvm = self.spark.sparkContext._jvm
+        for df in tables:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths[id(df)][1])
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        release(self.spark)
+
+
+def packed(df: DataFrame, *columns: Column) -> DataFrame:
+    """row (all of df's columns as one struct) beside columns of our own, whose names then clash with none."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *columns)
+
+
 def small_or_not(df: DataFrame, n_rows: int, limit: int) -> DataFrame:
     """Hint a broadcast only when the measured row count is within the limit; else a shuffle join."""
     return F.broadcast(df) if n_rows <= limit else df.hint("merge")

@@ -1,185 +1,238 @@
 """Line deduplication, native: an exact set-similarity join of lines; later matches are removed.
 
-A line is the set of its distinct 5-word shingles (words: lower-cased, divided by ASCII white space); lines
-of fewer words are too short to be evidence and stay. A line goes if an earlier one (by doc_id, then
-place) has a Jaccard similarity of 0.8 or more with it. The first of equal lines stands for all of
-them, so copies cost one row per task before any join.
-
-Distinct lines are joined by their prefixes in an order of tokens by rarity with two classes: tokens of
-at most CROWDED lines come first, in the order of their 64-bit hashes, then the frequent ones. Frequencies are not known
-beforehand (counting every shingle would shuffle far more than the prefixes do), so prefixes are taken in
-hash order with some tokens to spare. Two similar lines then share more tokens of their prefixes than
-the spare ones (or all that they share: a set of one token has none to spare), and a line with no more frequent
-tokens than that finds each partner by a rare token; it leaves the frequent ones. Only lines that have too few rare tokens keep them. So a passage that many lines share pairs
-nothing, and no partner is lost. Length and positional filters prune, and the token sets are compared.
-
-No bucket is expanded to all pairs: the lines of a bucket are ranked by place in the corpus, and a line is
-compared with ranks 1, then 2-8, then 9-64 and so on, only while it has found no match.
-
-Defined cases: null and empty texts have no lines; a null doc_id comes before all others; rows with the same
-doc_id are one document; lines of white space stay; extra columns pass through; an empty table gives no rows.
+A line is the set of its distinct 5-word shingles (words: lower-cased, divided by ASCII white space); a line
+of fewer words is its whole sequence, as one token. A line goes if an earlier one (by doc_id, then the text's
+hash, then place) has a Jaccard similarity of 0.8 or more with it. The first of equal lines stands for all.
+
+1. Screen. Any global order of tokens gives prefixes that similar lines share a token of; here the order is the
+   hash of a shingle's first two words, so only the shingles of a prefix are ever hashed. A token whose least and
+   largest line key differ is live (a grouped aggregate, combined in map tasks), and only lines with a live
+   token can have a partner.
+2. Join. Over these lines every token is counted, and a line's tokens are ordered by rarity: a token that only
+   one line has comes first and pairs nothing. Prefix, positional and length filters are in the join itself.
+   A token of up to HOT lines pairs them all; one of more pairs its lines with their first one, the hub, only.
+3. Survivors of a hub (lines that match nothing so far) are joined to the hub's other lines by what they
+   have more or less than the hub, again by rarest-first prefixes: x and y match if their differences from the
+   hub have (dx + dy - (nx + ny) / 9) / 2 members in common or more, which is above zero for a
+   survivor. So a crowd of near copies or a common passage never expands to all pairs, and no partner is lost.
+
+Candidates are verified on their whole token sets. A key of a line is two 64-bit hashes, and the sets of two lines that have
+a single token must agree in a second hash of its words, so a match rests on 128 bits.
+
+Defined cases: null and empty texts have no lines; a null doc_id comes before all others; rows of equal doc_id
+and text are one document, rows of one doc_id with other texts are documents of their own; lines of white space stay;
+a line of any length is read whole; of lines that tie in all but place the first stays; other columns pass through,
+whatever their names (the column of removed places replaces one of its own name); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACE, cut, let, small_or_not, stored, table
+from millrace.llm.common import Scratch, cut, let, packed, small_or_not, table
 
 SHINGLE, LEAST, OF = 5, 80, 100
-#: Lines that a token may have before it counts as frequent.
-CROWDED = 16
-#: Rows of a few numbers that may be broadcast; up to BLOCKS times as many candidate pairs go in that many
-#: blocks, and more are shuffled.
-BROADCAST_ROWS, BLOCKS = 400_000, 8
+#: Sets match if they differ in at most the RATIO-th part of their summed sizes.
+RATIO = (OF + LEAST) // (OF - LEAST)
+#: Lines of a token beyond which they meet through their first one.
+HOT = 8
+#: Rows of a few numbers that may be broadcast; more are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+PLACE = ("doc_id", "th", "at")
 
 
 def line_words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), SPACE), lambda w: w != "")
+    flat = F.lower(line)
+    for space in "\t\x0b\x0c\r":
+        flat = F.replace(flat, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(flat, " "), "")
 
 
-def keyed_lines(documents: DataFrame, with_line: bool) -> DataFrame:
-    """doc_id, at, key[, line] of the lines with SHINGLE words or more; equal keys are equal words.
+def lines_of(documents: DataFrame) -> DataFrame:
+    """doc_id, th, at, line of every line."""
+    return documents.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
 
-    Split and hashed inside the row of the document: as columns, a filter on the words would be pushed down and
-    evaluate them twice.
-    """
 
-    def entry(line: Column, at: Column) -> Column:
-        key = let(line_words(line), lambda w: F.when(F.size(w) >= SHINGLE, F.xxhash64(w)))
-        return F.struct(at.alias("at"), key.alias("key"), *([line.alias("line")] if with_line else []))
+def hashed(lines: DataFrame, *columns: str) -> DataFrame:
+    """columns, h (a hash of each word and the next), n (shingles, repeated ones counted again; 0 without words)."""
+    worded = lines.select(*columns, line_words(F.col("line")).alias("w"))
+    paired = worded.select(*columns, "w", F.expr("transform(w, (x, i) -> xxhash64(x, get(w, i + 1)))").alias("h"))
+    return paired.withColumn("n", F.greatest(F.size("h") - SHINGLE + 1, F.least(F.size("h"), F.lit(1))))
 
-    entries = F.filter(F.transform(F.split("text", "\n"), entry), lambda x: x["key"].isNotNull())
-    return documents.select("doc_id", F.explode(entries).alias("x")).select("doc_id", "x.*")
 
+def shingle_hash(h: Column, pair: Column, i: Column) -> Column:
+    """Of the five words from i on: pairs i, i + 2 and i + 3; of a line with fewer words, of them all."""
+    return F.when(F.size(h) < SHINGLE, F.xxhash64(h)).otherwise(F.xxhash64(pair, F.get(h, i + 2), F.get(h, i + 3)))
 
-def distinct_lines(documents: DataFrame) -> DataFrame:
-    """key, doc_id, at, line, copies: the first of each group of lines with equal words."""
-    first = keyed_lines(documents, True).groupBy("key").agg(
-        F.min(F.struct("doc_id", "at", "line")).alias("f"), F.count(F.lit(1)).alias("copies")
-    )
-    return first.select("key", "f.doc_id", "f.at", "f.line", "copies")
 
+def prefix_length(n: Column) -> Column:
+    return F.floor(n * (OF - LEAST) / OF).cast("int") + 1
 
-def tokens(lines: DataFrame) -> DataFrame:
-    """key, doc_id, at, t: the line's distinct shingle hashes in order."""
 
-    def of(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))
+def prefix_rows(lines: DataFrame) -> DataFrame:
+    """token, key of each line's prefix in the order of the shingles' first two words, ties included."""
+    rows = hashed(lines.select(F.xxhash64("line").alias("key"), "line"), "key")
+    own = F.slice("h", F.lit(1), F.col("n"))
+    rows = rows.select("key", "h", "n", F.sort_array(F.array_distinct(own)).alias("order"))
+    last = F.coalesce(F.get("order", prefix_length(F.col("n")) - 1), F.lit((1 << 63) - 1))
+    rows = rows.select("key", "h", last.alias("last"), F.posexplode(own).alias("i", "pair")).where("pair <= last")
+    return rows.select(shingle_hash(F.col("h"), F.col("pair"), F.col("i")).alias("token"), "key")
 
-    return lines.select(
-        "key", "doc_id", "at", F.sort_array(F.array_distinct(let(line_words(F.col("line")), of))).alias("t")
-    )
 
+def occurrences(documents: DataFrame) -> DataFrame:
+    """key, proof, doc_id, th, at of every line with a word; equal lines have equal keys and proofs."""
+    lines = lines_of(documents).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return lines.select(F.xxhash64("line").alias("key"), F.xxhash64(F.lit("proof"), "line").alias("proof"), *PLACE)
 
-def prefix_length(n: Column) -> Column:
-    return n - F.ceil(n * LEAST / OF).cast("int") + 1
 
+def first_lines(documents: DataFrame) -> DataFrame:
+    """key, proof, doc_id, th, at, copies: the first of each group of equal lines."""
+    first = occurrences(documents).groupBy("key", "proof").agg(F.min(F.struct(*PLACE)).alias("f"), F.count(F.lit(1)).alias("copies"))
+    return first.select("key", "proof", "f.*", "copies")
 
-def spare(n: Column) -> Column:
-    """Tokens that a prefix has beyond its length; never less for a longer line."""
-    return 1 + F.floor(n / 50).cast("int")
 
+def same_document(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
 
-def buckets(tokened: DataFrame) -> DataFrame:
-    """token, key, doc_id, at, n, pos, rank (by place in the corpus), size: of buckets of two lines or more."""
-    sized = tokened.select("key", "doc_id", "at", "t", F.size("t").alias("n"))
-    length = F.least(F.col("n"), prefix_length(F.col("n")) + spare(F.col("n")))
-    rows = sized.select("key", "doc_id", "at", "n", F.posexplode(F.slice("t", F.lit(1), length)).alias("pos", "token"))
-    return rows.select(
-        "*",
-        F.row_number().over(_by_place()).alias("rank"),
-        F.count(F.lit(1)).over(W.partitionBy("token")).alias("size"),
-    ).where("size > 1")
-
-
-def _by_place():
-    return W.partitionBy("token").orderBy(F.col("doc_id").asc_nulls_first(), "at", "key")
-
-
-def useful(rows: DataFrame) -> DataFrame:
-    """The buckets of rare tokens, and those of frequent ones with only the lines that depend on them."""
-    frequent = rows.where(F.col("size") > CROWDED)
-    # a partner may be shorter, to LEAST in the hundred, and then have fewer tokens to spare; a match has no more
-    # tokens in common than the set has, so of a single token there is none to spare
-    least = F.ceil(F.col("n") * LEAST / OF)
-    least_spare = F.least(spare(least), least.cast("int") - 1)
-    depends = frequent.groupBy("key").agg(F.count(F.lit(1)).alias("used"), F.first("n").alias("n")).where(F.col("used") > least_spare)
-    kept = frequent.join(depends.select("key"), "key", "left_semi").withColumn("rank", F.row_number().over(_by_place()))
-    return rows.where(F.col("size") <= CROWDED).unionByName(kept).select("token", "key", "n", "pos", "rank")
-
-
-def matching(pairs: DataFrame, n: int, sets: DataFrame) -> DataFrame:
-    """key of each of the n pairs (key, e_key) whose sets match, cut."""
-    blocks = -(-n // BROADCAST_ROWS) if n <= BLOCKS * BROADCAST_ROWS else 1
-    common = F.size(F.array_intersect("t_a", "t_b"))
-    hit = OF * common >= LEAST * (F.size("t_a") + F.size("t_b") - common)
-    out = sets.select("key").limit(0)
-    for i in range(blocks):
-        part = pairs.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i) if blocks > 1 else pairs
-        few = small_or_not(part, -(-n // blocks), BROADCAST_ROWS)
-        # the pairs go to the sets, so only sets that a pair needs are shuffled, to where both of it meet
-        a = sets.select("key", F.col("t").alias("t_a")).join(few, "key")
-        b = sets.select(F.col("key").alias("e_key"), F.col("t").alias("t_b")).join(few, "e_key")
-        out = out.union(cut(a.join(b, ["key", "e_key"]).where(hit).select("key").distinct()))
-    return out
-
-
-def later_matches(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(distinct lines, keys whose first line matches an earlier line of other words)."""
-    lines = stored(distinct_lines(documents), "lines")
-    all_rows = stored(buckets(tokens(lines)), "buckets")
-    rows = stored(useful(all_rows), "useful")
-    keys = cut(rows.select("key").distinct())
-    near = lines.join(small_or_not(keys, keys.count(), BROADCAST_ROWS), "key", "left_semi")
-    sets = stored(tokens(near).select("key", "t"), "line-sets")
-    most = rows.agg(F.max("rank")).first()[0] or 0
-    open_rows, found, low, high = rows, None, 0, 1
-    while low < most:
-        later = open_rows.where(F.col("rank") > low + 1)
-        earlier = rows.where((F.col("rank") > low) & (F.col("rank") <= high)).select(
-            "token", *[F.col(c).alias(f"e_{c}") for c in ("key", "n", "pos", "rank")]
-        )
-        need = F.ceil((F.col("n") + F.col("e_n")) * LEAST / (OF + LEAST))
-        pairs = (
-            later.join(earlier, "token")
-            .where(
-                (F.col("e_rank") < F.col("rank"))
-                & (F.greatest("n", "e_n") * LEAST <= F.least("n", "e_n") * OF)
-                & (1 + F.least(F.col("n") - F.col("pos") - 1, F.col("e_n") - F.col("e_pos") - 1) >= need - F.least("pos", "e_pos"))
-            )
-            .select("key", "e_key")
-            .distinct()
-        )
-        pairs = cut(pairs)
-        matched = matching(pairs, pairs.count(), sets)
-        found = matched if found is None else found.union(matched)
-        low, high = high, high * 8
-        if low < most:
-            open_rows = rows.join(found, "key", "left_anti")
-    return lines, found if found is not None else keys.limit(0)
 
+def line_sets(documents: DataFrame, places: DataFrame) -> DataFrame:
+    """id, doc_id, th, at, n, t (distinct tokens), proof of the lines at places (doc_id, th, at)."""
+    wanted = cut(places.groupBy("doc_id", "th").agg(F.collect_list("at").alias("ats")))
+    wanted = small_or_not(wanted, wanted.count(), BROADCAST_ROWS)
+    docs = documents.select("doc_id", F.xxhash64("text").alias("th"), "text")
 
-def removals(documents: DataFrame) -> DataFrame:
-    """doc_id, removed: places of the lines that match an earlier line, in order."""
-    docs = documents.select("doc_id", "text")
-    lines, found = later_matches(docs)
-    # a line that is alone and matches nothing needs no row here
-    first = (
-        lines.join(found.withColumn("matched", F.lit(True)), "key", "left")
-        .where("matched or copies > 1")
-        .select("key", F.col("doc_id").alias("f_doc"), F.col("at").alias("f_at"), F.coalesce("matched", F.lit(False)).alias("matched"))
+    def picked(parts: Column) -> Column:
+        return F.transform("ats", lambda at: F.struct(at.alias("at"), F.get(parts, at).alias("line")))
+
+    joined = docs.join(wanted, same_document(docs, wanted)).select(docs["doc_id"], docs["th"], "text", "ats").dropDuplicates(["doc_id", "th"])
+    lines = joined.select("doc_id", "th", F.explode(let(F.split("text", "\n"), picked)).alias("x")).select("doc_id", "th", "x.*")
+    rows = hashed(lines, *PLACE)
+    every = F.array_distinct(
+        F.transform(F.slice("h", F.lit(1), F.col("n")), lambda x, i: shingle_hash(F.col("h"), x, i))
+    )
+    words = F.xxhash64(F.lit("proof"), F.slice("w", F.lit(1), F.lit(SHINGLE)))
+    rows = rows.select(*PLACE, every.alias("t"), words.alias("words"))
+    return rows.select(
+        F.monotonically_increasing_id().alias("id"), *PLACE, F.size("t").alias("n"), "t", F.when(F.size("t") == 1, F.col("words")).alias("proof")
     )
-    is_first = F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("at") == F.col("f_at"))
+
+
+def renamed(df: DataFrame, *columns: str) -> DataFrame:
+    """df with e_ before the names of columns: those of the earlier line of a pair."""
+    return df.withColumnsRenamed({c: f"e_{c}" for c in columns})
+
+
+def near_lengths() -> Column:
+    return F.greatest("n", "e_n") * LEAST <= F.least("n", "e_n") * OF
+
+
+def is_later() -> Column:
+    return F.struct(*PLACE) > F.struct(*[f"e_{c}" for c in PLACE])
+
+
+def rarest_first(rows: DataFrame, by: tuple[str, ...], group: tuple[str, ...]) -> DataFrame:
+    """by, s: the tokens of rows(by, token) that others of the group have too, rarest first, as (lines, token)."""
+    counts = rows.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
+    return rows.join(counts, [*group, "token"]).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("lines", "token"))).alias("s"))
+
+
+def matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """id of the pairs (id, e_id) whose sets match."""
+    own = sets.select("id", "t", "proof")
+    both = pairs.join(own, "id").join(renamed(own, "id", "t", "proof"), "e_id")
+    common = F.size(F.array_intersect("t", "e_t"))
+    hit = OF * common >= LEAST * (F.size("t") + F.size("e_t") - common)
+    return both.where(hit & F.coalesce(F.col("proof") == F.col("e_proof"), F.lit(True))).select("id").distinct()
+
+
+def hub_pairs(open_rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, e_id): candidate pairs within the hubs of open_rows(hub, id, open), for lines that are open."""
+    own = sets.select("id", "n", *PLACE, "t")
+    hubs = sets.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("t").alias("hub_t"))
+    less = F.transform(F.array_except("hub_t", "t"), lambda x: F.xxhash64(x, F.lit("less")))
+    joined = open_rows.join(own, "id").join(hubs, "hub")
+    members = cut(joined.select("hub", "id", "open", "n", "hub_n", *PLACE, F.concat(F.array_except("t", "hub_t"), less).alias("delta")))
+    ordered = rarest_first(members.select("hub", "id", F.explode("delta").alias("token")), ("hub", "id"), ("hub",))
+    members = members.withColumn("d", F.size("delta")).drop("delta").join(ordered, ["hub", "id"])
+    # least members in common: of an open line with any other, and of any line with an open one
+    least_open = F.greatest(F.lit(1), F.ceil((RATIO * F.col("d") - F.col("n") - F.col("hub_n")) / (RATIO + 1))).cast("int")
+    least = F.floor((RATIO - 1) * F.col("d") / (2 * RATIO)).cast("int") + 1
+    alone = F.col("d") - F.size("s")
+    length = F.greatest(F.when(F.col("open"), F.col("d") - least_open + 1).otherwise(0), F.col("d") - least + 1) - alone
+    rows = members.where(length > 0).select(
+        "hub", "id", "open", "n", "d", *PLACE, alone.alias("alone"),
+        (F.col("d") - least_open).alias("last_open"), (F.col("d") - least).alias("last"),
+        F.posexplode(F.slice("s", F.lit(1), length)).alias("pos", "x"),
+    )
+    rows = cut(rows.withColumn("pos", F.col("pos") + F.col("alone")).withColumn("token", F.col("x.token")).drop("x", "alone"))
+    later = rows.where("open and pos <= last_open").drop("open", "last", "last_open")
+    earlier = renamed(rows.where("pos <= last"), "id", "n", "d", *PLACE, "pos").drop("open", "last", "last_open")
+    sizes = F.col("n") + F.col("e_n")
+    need = F.ceil((RATIO * (F.col("d") + F.col("e_d")) - sizes) / (2 * RATIO))
     return (
-        keyed_lines(docs, False)
-        .join(first, "key")
-        .where(~is_first | F.col("matched"))
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_set("at")).alias("removed"))
+        later.join(earlier, ["hub", "token"])
+        .where(is_later() & near_lengths() & (RATIO * (F.col("d") - F.col("e_d")) <= sizes))
+        .where(F.least(F.col("d") - F.col("pos"), F.col("e_d") - F.col("e_pos")) >= need)
+        .select("id", "e_id")
+        .distinct()
+    )
+
+
+def matched_lines(sets: DataFrame) -> DataFrame:
+    """id of the lines of sets that match an earlier one."""
+    ordered = rarest_first(sets.select("id", F.explode("t").alias("token")), ("id",), ())
+    lines = sets.select("id", "n", *PLACE).join(ordered, "id")
+    alone = F.col("n") - F.size("s")
+    left = prefix_length(F.col("n")) - alone
+    rows = lines.where(left > 0).select("id", "n", *PLACE, alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), left)).alias("pos", "x"))
+    rows = cut(rows.select("id", "n", *PLACE, (F.col("pos") + F.col("alone")).alias("pos"), "x.token"))
+    buckets = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(*PLACE, "id", "n")).alias("first"))
+    rows = cut(rows.join(buckets.where("size > 1"), "token"))
+    few = rows.where(F.col("size") <= HOT).drop("size", "first")
+    need = F.ceil((F.col("n") + F.col("e_n")) * LEAST / (OF + LEAST))
+    rest = F.least(F.col("n") - F.col("pos"), F.col("e_n") - F.col("e_pos"))
+    pairs = (
+        few.join(renamed(few, "id", "n", *PLACE, "pos"), "token")
+        .where(is_later() & near_lengths() & (rest >= need - F.least("pos", "e_pos")))
+        .select("id", "e_id")
     )
+    hubs = rows.where((F.col("size") > HOT) & (F.col("id") != F.col("first.id")))
+    members = cut(hubs.select("id", "n", F.col("first.id").alias("e_id"), F.col("first.n").alias("e_n")).distinct())
+    pairs = cut(pairs.union(members.where(near_lengths()).select("id", "e_id")).distinct())
+    found = cut(matching(pairs, sets))
+    flagged = members.select(F.col("e_id").alias("hub"), "id").join(found.withColumn("hit", F.lit(True)), "id", "left")
+    flagged = cut(flagged.select("hub", "id", F.col("hit").isNull().alias("open")))
+    open_rows = flagged.join(flagged.where("open").select("hub").distinct(), "hub", "left_semi")
+    if open_rows.isEmpty():
+        return found
+    return found.union(matching(cut(hub_pairs(open_rows, sets)), sets)).distinct()
+
+
+def removals(documents: DataFrame) -> DataFrame:
+    """doc_id, th, removed: places of the lines that match an earlier line, in order; cut."""
+    docs = documents.select("doc_id", "text")
+    scratch = Scratch(docs.sparkSession, "line-dedup")
+    firsts = scratch.stored(first_lines(docs))
+    rows = scratch.stored(prefix_rows(lines_of(docs)))
+    live = rows.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most")
+    live = scratch.stored(live.select("token"))
+    scratch.release()
+    keys = cut(rows.join(small_or_not(live, live.count(), BROADCAST_ROWS), "token", "left_semi").select("key").distinct())
+    places = firsts.join(small_or_not(keys, keys.count(), BROADCAST_ROWS), "key", "left_semi").select(*PLACE)
+    sets = scratch.stored(line_sets(docs, places))
+    scratch.drop(rows, live)
+    found = cut(matched_lines(sets))
+    matched = sets.join(small_or_not(found, found.count(), BROADCAST_ROWS), "id", "left_semi").select(*PLACE)
+    again = firsts.where("copies > 1").select("key", "proof", F.struct(*PLACE).alias("first"))
+    again = small_or_not(again, again.count(), BROADCAST_ROWS)
+    copies = occurrences(docs).join(again, ["key", "proof"]).where(F.struct(*PLACE) > F.col("first")).select(*PLACE)
+    gone = matched.union(copies).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("at")).alias("removed"))
+    gone = cut(gone)
+    scratch.drop(firsts, sets)
+    scratch.release()
+    return gone
 
 
 def without(text: Column, removed: Column) -> Column:
@@ -190,12 +243,14 @@ def without(text: Column, removed: Column) -> Column:
     return F.when(removed.isNull(), text).otherwise(let(F.split(text, "\n"), kept))
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
-    """documents with text less its later matches, and the removed places in __removed (null: none)."""
-    gone = cut(removals(documents).select(F.col("doc_id").alias("__id"), F.col("removed").alias("__removed")))
+def dedup_lines(documents: DataFrame, removed: str = "__removed") -> DataFrame:
+    """documents with text less its later matches, and the removed places in the column `removed` (null: none)."""
+    gone = removals(documents)
     gone = small_or_not(gone, gone.count(), BROADCAST_ROWS)
-    joined = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
-    return joined.withColumn("text", without(F.col("text"), F.col("__removed")))
+    docs = packed(documents, F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("th"))
+    joined = docs.join(gone, same_document(docs, gone), "left").select(docs["row"], docs["text"], gone["removed"])
+    columns = [without(F.col("text"), F.col("removed")).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in documents.columns if c != removed]
+    return joined.select(*columns, F.col("removed").alias(removed))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
