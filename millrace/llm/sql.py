@@ -75,4 +75,57 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_sh
   NOT ({" OR ".join(f"f_{r}" for r in _RULES)} OR host_failed) AS kept, host_failed
 FROM f JOIN verdicts ON f.source IS NOT DISTINCT FROM verdicts.source"""
 
-ORACLE_SQL = {"op1_quality_rules": OP1, "op5_decontamination": OP5}
+def _shingles(words: str) -> str:
+    """The 5-word shingles of a list of words, or its whole sequence if it has fewer, as texts."""
+    windows = f"list_transform(range(1, len({words}) - 3), lambda k: array_to_string({words}[k:k + 4], ' '))"
+    return f"CASE WHEN len({words}) < 5 THEN [array_to_string({words}, ' ')] ELSE list_distinct({windows}) END"
+
+
+OP2 = f"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, k - 1 AS pos, parts[k] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM d)),
+w AS (SELECT doc_id, pos, list_filter(regexp_split_to_array(lower(line), '{_SPACED}'), lambda x: x <> '') AS words FROM l),
+placed AS (SELECT doc_id, pos, array_to_string(words, ' ') AS key, words, row_number() OVER (ORDER BY doc_id, pos) AS place FROM w WHERE len(words) > 0),
+firsts AS (SELECT place, words FROM placed QUALIFY row_number() OVER (PARTITION BY key ORDER BY place) = 1),
+g AS (SELECT place, len(grams) AS n, unnest(grams) AS gram FROM (SELECT place, {_shingles("words")} AS grams FROM firsts)),
+pairs AS (
+  SELECT a.place, a.n, b.n AS e_n, count(*) AS common FROM g AS a JOIN g AS b ON a.gram = b.gram AND a.place > b.place
+  GROUP BY a.place, b.place, a.n, b.n
+),
+gone AS (
+  SELECT doc_id, pos FROM placed WHERE place NOT IN (SELECT place FROM firsts)
+    OR place IN (SELECT place FROM pairs WHERE 100 * common >= 80 * (n + e_n - common))
+),
+removed AS (SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS places FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) AS text
+  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos WHERE gone.pos IS NULL GROUP BY l.doc_id
+)
+SELECT t.doc_id, coalesce(removed.n, 0) AS n_removed,
+  CASE WHEN t.text IS NOT NULL THEN length(coalesce(kept.text, '')) END AS kept_chars,
+  CASE WHEN t.text IS NOT NULL THEN sha256(coalesce(kept.text, '')) END AS kept_sha256,
+  coalesce(removed.places, '') AS removed_lines
+FROM documents AS t LEFT JOIN removed ON t.doc_id = removed.doc_id LEFT JOIN kept ON t.doc_id = kept.doc_id"""
+
+OP9 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWERED}, '{_SPACED}'), lambda x: x <> '') AS words FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE {_shingles("words")} END AS grams FROM w),
+g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g AS a JOIN g AS b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+reached(node, source) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT links.b, source FROM reached JOIN links ON reached.node = links.a WHERE source < links.b
+),
+least AS (SELECT node, min(source) AS component_id FROM reached GROUP BY node)
+SELECT sets.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, component_id FROM sets JOIN least ON sets.doc_id = least.node"""
+
+ORACLE_SQL = {
+    "op1_quality_rules": OP1,
+    "op2_line_dedup": OP2,
+    "op5_decontamination": OP5,
+    "op9_ngram_jaccard": OP9,
+}
