@@ -4,10 +4,10 @@ A line is the set of its distinct 5-word shingles (words: lower-cased, divided b
 of fewer words is its whole sequence, as one token. A line goes if an earlier one (by doc_id, then the text's
 hash, then place) has a Jaccard similarity of 0.8 or more with it. The first of equal lines stands for all.
 
-1. Screen. Any global order of tokens gives prefixes that similar lines share a token of; here the order is the
-   hash of a shingle's first two words, so only the shingles of a prefix are ever hashed. A token whose least and
-   largest line key differ is live (a grouped aggregate, combined in map tasks), and only lines with a live
-   token can have a partner.
+1. Screen. Later copies of a line go first. Any global order of tokens gives prefixes that similar lines share a
+   token of; here the order is the hash of a shingle's first two words, so only the shingles of a prefix are ever
+   hashed. A token that occurs twice is live (a count, combined in map tasks), and only lines with a live token can
+   have a partner.
 2. Join. Over these lines every token is counted, and a line's tokens are ordered by rarity: a token that only
    one line has comes first and pairs nothing. Prefix, positional and length filters are in the join itself.
    A token of up to HOT lines pairs them all; one of more pairs its lines with their first one, the hub, only.
@@ -87,12 +87,24 @@ def occurrences(documents: DataFrame) -> DataFrame:
     return lines.select(F.xxhash64("line").alias("key"), F.xxhash64(F.lit("proof"), "line").alias("proof"), *PLACE)
 
 
-def first_lines(documents: DataFrame) -> DataFrame:
-    """key, proof, doc_id, th, at, copies: the first of each group of equal lines."""
-    first = occurrences(documents).groupBy("key", "proof").agg(F.min(F.struct(*PLACE)).alias("f"), F.count(F.lit(1)).alias("copies"))
+def first_lines(places: DataFrame) -> DataFrame:
+    """key, proof, doc_id, th, at, copies: the first of each group of equal lines of occurrences()."""
+    first = places.groupBy("key", "proof").agg(F.min(F.struct(*PLACE)).alias("f"), F.count(F.lit(1)).alias("copies"))
     return first.select("key", "proof", "f.*", "copies")
 
 
+def without_places(documents: DataFrame, gone: DataFrame) -> DataFrame:
+    """line: every line of documents but those at gone(doc_id, th, ats)."""
+    docs = documents.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    joined = docs.join(gone, same_document(docs, gone), "left").select("text", "ats")
+
+    def others(parts: Column) -> Column:
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "ats"), lambda at: F.get(parts, at))
+
+    split = F.split("text", "\n")
+    return joined.select(F.explode(F.when(F.col("ats").isNull(), split).otherwise(let(split, others))).alias("line"))
+
+
 def same_document(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
 
@@ -106,7 +118,7 @@ def line_sets(documents: DataFrame, places: DataFrame) -> DataFrame:
     def picked(parts: Column) -> Column:
         return F.transform("ats", lambda at: F.struct(at.alias("at"), F.get(parts, at).alias("line")))
 
-    joined = docs.join(wanted, same_document(docs, wanted)).select(docs["doc_id"], docs["th"], "text", "ats").dropDuplicates(["doc_id", "th"])
+    joined = docs.join(wanted, same_document(docs, wanted)).select(docs["doc_id"], docs["th"], "text", "ats")
     lines = joined.select("doc_id", "th", F.explode(let(F.split("text", "\n"), picked)).alias("x")).select("doc_id", "th", "x.*")
     rows = hashed(lines, *PLACE)
     every = F.array_distinct(
@@ -119,6 +131,20 @@ def line_sets(documents: DataFrame, places: DataFrame) -> DataFrame:
     )
 
 
+def once(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """sets with one row for each place: rows of equal id and text have several."""
+    again = sets.groupBy(*PLACE).agg(F.min("id").alias("kept"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    again = cut(again.select(*[F.col(c).alias(f"p_{c}") for c in PLACE], "kept"))
+    n = again.count()
+    if not n:
+        return sets
+    place = F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("th") == F.col("p_th")) & (F.col("at") == F.col("p_at"))
+    joined = sets.join(small_or_not(again, n, BROADCAST_ROWS), place, "left")
+    out = scratch.stored(joined.where("kept is null or id = kept").select(*sets.columns))
+    scratch.drop(sets)
+    return out
+
+
 def renamed(df: DataFrame, *columns: str) -> DataFrame:
     """df with e_ before the names of columns: those of the earlier line of a pair."""
     return df.withColumnsRenamed({c: f"e_{c}" for c in columns})
@@ -135,7 +161,8 @@ def is_later() -> Column:
 def rarest_first(rows: DataFrame, by: tuple[str, ...], group: tuple[str, ...]) -> DataFrame:
     """by, s: the tokens of rows(by, token) that others of the group have too, rarest first, as (lines, token)."""
     counts = rows.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
-    return rows.join(counts, [*group, "token"]).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("lines", "token"))).alias("s"))
+    # hashed by partition: the rows themselves need no sort
+    return rows.join(counts.hint("shuffle_hash"), [*group, "token"]).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("lines", "token"))).alias("s"))
 
 
 def matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -214,27 +241,35 @@ def removals(documents: DataFrame) -> DataFrame:
     """doc_id, th, removed: places of the lines that match an earlier line, in order; cut."""
     docs = documents.select("doc_id", "text")
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    firsts = scratch.stored(first_lines(docs))
-    rows = scratch.stored(prefix_rows(lines_of(docs)))
-    live = rows.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most")
-    live = scratch.stored(live.select("token"))
-    scratch.release()
-    keys = cut(rows.join(small_or_not(live, live.count(), BROADCAST_ROWS), "token", "left_semi").select("key").distinct())
-    places = firsts.join(small_or_not(keys, keys.count(), BROADCAST_ROWS), "key", "left_semi").select(*PLACE)
-    sets = scratch.stored(line_sets(docs, places))
-    scratch.drop(rows, live)
-    found = cut(matched_lines(sets))
-    matched = sets.join(small_or_not(found, found.count(), BROADCAST_ROWS), "id", "left_semi").select(*PLACE)
+    places = scratch.stored(occurrences(docs))
+    firsts = scratch.stored(first_lines(places))
     again = firsts.where("copies > 1").select("key", "proof", F.struct(*PLACE).alias("first"))
     again = small_or_not(again, again.count(), BROADCAST_ROWS)
-    copies = occurrences(docs).join(again, ["key", "proof"]).where(F.struct(*PLACE) > F.col("first")).select(*PLACE)
-    gone = matched.union(copies).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("at")).alias("removed"))
-    gone = cut(gone)
-    scratch.drop(firsts, sets)
+    copies = places.join(again, ["key", "proof"]).where(F.struct(*PLACE) > F.col("first"))
+    copies = cut(copies.groupBy("doc_id", "th").agg(F.collect_set("at").alias("ats")))
+    scratch.drop(places)
+    rows = scratch.stored(prefix_rows(without_places(docs, small_or_not(copies, copies.count(), BROADCAST_ROWS))))
+    live = scratch.stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("token"))
+    scratch.release()
+    keys = cut(rows.join(few_or_hashed(live), "token", "left_semi").select("key").distinct())
+    sets = line_sets(docs, firsts.join(few_or_hashed(keys), "key", "left_semi").select(*PLACE))
+    sets = once(scratch.stored(sets), scratch)
+    scratch.drop(rows, live, firsts)
+    scratch.release()
+    found = cut(matched_lines(sets))
+    matched = sets.join(few_or_hashed(found), "id", "left_semi").select(*PLACE)
+    gone = matched.union(copies.select("doc_id", "th", F.explode("ats").alias("at")))
+    gone = cut(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("at")).alias("removed")))
+    scratch.drop(sets)
     scratch.release()
     return gone
 
 
+def few_or_hashed(df: DataFrame) -> DataFrame:
+    """A few numbers a row: broadcast up to BROADCAST_ROWS rows, else hashed by partition of a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
+
+
 def without(text: Column, removed: Column) -> Column:
     def kept(lines: Column) -> Column:
         places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
