@@ -8,8 +8,9 @@ hash, then place) has a Jaccard similarity of 0.8 or more with it. The first of
    token of; here the order is the hash of a shingle's first two words, so only the shingles of a prefix are ever
    hashed. A token that occurs twice is live (a count, combined in map tasks), and only lines with a live token can
    have a partner.
-2. Join. Over these lines every token is counted, and a line's tokens are ordered by rarity: a token that only
-   one line has comes first and pairs nothing. Prefix, positional and length filters are in the join itself.
+2. Join. Over these lines every token is counted, one class of tokens after the other: a line goes as soon as more of its
+   tokens than a partner may lack are its own alone. The tokens of a line that is left are ordered by rarity: a
+   token that only one line has comes first and pairs nothing. Prefix, positional and length filters are in the join itself.
    A token of up to HOT lines pairs them all; one of more pairs its lines with their first one, the hub, only.
 3. Survivors of a hub (lines that match nothing so far) are joined to the hub's other lines by what they
    have more or less than the hub, again by rarest-first prefixes: x and y match if their differences from the
@@ -27,6 +28,8 @@ whatever their names (the column of removed places replaces one of its own name)
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,8 @@ from millrace.llm.common import Scratch, cut, let, packed, small_or_not, table
 SHINGLE, LEAST, OF = 5, 80, 100
 #: Sets match if they differ in at most the RATIO-th part of their summed sizes.
 RATIO = (OF + LEAST) // (OF - LEAST)
+#: Classes of tokens, by hash, that are counted one after the other.
+CLASSES = 4
 #: Lines of a token beyond which they meet through their first one.
 HOT = 8
 #: Rows of a few numbers that may be broadcast; more are shuffled.
@@ -207,10 +212,30 @@ def hub_pairs(open_rows: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def matched_lines(sets: DataFrame) -> DataFrame:
+def shared_tokens(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, s: as rarest_first() for all lines, but only of lines that share enough tokens to have a partner."""
+    left, found = sets.select("id", "n", F.lit(0).cast("long").alias("alone")), []
+    for c in range(CLASSES):
+        lines = sets if c == 0 else sets.join(few_or_hashed(left.select("id")), "id", "left_semi")
+        rows = lines.select("id", F.explode("t").alias("token")).where(F.pmod("token", F.lit(CLASSES)) == c)
+        counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
+        found.append(scratch.stored(rows.join(counts.hint("shuffle_hash"), "token")))
+        seen = rows.groupBy("id").agg(F.count(F.lit(1)).alias("seen"))
+        shared = found[-1].groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+        alone = F.col("alone") + F.coalesce("seen", F.lit(0)) - F.coalesce("shared", F.lit(0))
+        left = left.join(seen, "id", "left").join(shared, "id", "left").select("id", "n", alone.alias("alone"))
+        left = cut(left.where(F.col("alone") < prefix_length(F.col("n"))))
+        scratch.release()
+    ids = few_or_hashed(left.select("id"))
+    rows = reduce(DataFrame.union, [f.join(ids, "id", "left_semi") for f in found])
+    out = scratch.stored(rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("lines", "token"))).alias("s")))
+    scratch.drop(*found)
+    return out
+
+
+def matched_lines(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """id of the lines of sets that match an earlier one."""
-    ordered = rarest_first(sets.select("id", F.explode("t").alias("token")), ("id",), ())
-    lines = sets.select("id", "n", *PLACE).join(ordered, "id")
+    lines = sets.select("id", "n", *PLACE).join(shared_tokens(sets, scratch), "id")
     alone = F.col("n") - F.size("s")
     left = prefix_length(F.col("n")) - alone
     rows = lines.where(left > 0).select("id", "n", *PLACE, alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), left)).alias("pos", "x"))
@@ -256,7 +281,7 @@ def removals(documents: DataFrame) -> DataFrame:
     sets = once(scratch.stored(sets), scratch)
     scratch.drop(rows, live, firsts)
     scratch.release()
-    found = cut(matched_lines(sets))
+    found = cut(matched_lines(sets, scratch))
     matched = sets.join(few_or_hashed(found), "id", "left_semi").select(*PLACE)
     gone = matched.union(copies.select("doc_id", "th", F.explode("ats").alias("at")))
     gone = cut(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("at")).alias("removed")))
