@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import blocks
-from millrace.llm.common import cut, small_or_not, stored, table
+from millrace.llm.common import cut, release, small_or_not, stored, table
 from millrace.llm.components import connected_components
 
 WORDS, LEAST, OF = 5, 80, 100
@@ -412,12 +412,15 @@ def class_links(documents: DataFrame, classes: DataFrame, shingle_total: int) ->
     parts = max(tasks, -(-shingle_total * 16 // TASK_BYTES))
     rows = block_links(documents, parts).repartition(parts, "part")
     stars = stored(bucket_stars(rows), "stars")
+    del rows
+    release(spark)  # the shuffled signatures are the largest thing here
     behind = cut(stars.where(F.col("kind") == KNOWN).select("a", "b", F.col("c").alias("differ")).distinct())
     local = behind.select("a", "b")
     verify = Verifier(documents, classes)
     depends = cut(dependent_classes(stars, local))
     crowded = cut(rare_prefix_stars(stored(verify.sets(depends), "dependent-sets")))
     pairs = cut(stars.where(F.col("kind") == COLD).select("a", "b").union(crowded).distinct())
+    release(spark)
 
     def grown(links: DataFrame, measured: DataFrame) -> tuple[DataFrame, DataFrame]:
         links = links.union(measured.where("linked").select("a", "b"))
@@ -430,6 +433,7 @@ def class_links(documents: DataFrame, classes: DataFrame, shingle_total: int) ->
     left = verify.measure(apart(rest, components))
     if not left.where("linked").isEmpty():
         links, components = grown(links, left)
+    release(spark)
     known = least.unionByName(left)
     open_stars = known.where("not linked").join(crowded, ["a", "b"], "left_semi")
     failed = cut(apart(open_stars.select("a", "b", "n_b", "differ"), components))

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from millrace.llm import common, language, licenses, quality_classifier, toxicity
+from millrace.llm import common, components, language, licenses, quality_classifier, toxicity
 from millrace.llm.components import connected_components
 
 EN, DE = "the of and ing tion ent her ha".split(), "der die und ung keit sch lich ein".split()
@@ -151,7 +151,9 @@ def test_token_counts(spark):
     assert tc.suffix_sums(tc.length_histogram(spark.createDataFrame([], "n_tokens long"))).collect() == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1_000_000, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     chain = [(i, i + 1) for i in range(100, 140)] + [(5, 900), (900, 7), (3, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 141)} | {5: 5, 900: 5, 7: 5}
