@@ -172,7 +172,9 @@ def rarest_first(rows: DataFrame, by: tuple[str, ...], group: tuple[str, ...]) -
 
 def matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """id of the pairs (id, e_id) whose sets match."""
-    own = sets.select("id", "t", "proof")
+    # only the sets that a pair needs are shuffled, to where both of it meet
+    need = cut(pairs.select("id").union(pairs.select("e_id")).distinct())
+    own = sets.select("id", "t", "proof").join(few_or_hashed(need), "id", "left_semi")
     both = pairs.join(own, "id").join(renamed(own, "id", "t", "proof"), "e_id")
     common = F.size(F.array_intersect("t", "e_t"))
     hit = OF * common >= LEAST * (F.size("t") + F.size("e_t") - common)
@@ -181,6 +183,7 @@ def matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def hub_pairs(open_rows: DataFrame, sets: DataFrame) -> DataFrame:
     """(id, e_id): candidate pairs within the hubs of open_rows(hub, id, open), for lines that are open."""
+    sets = sets.join(few_or_hashed(cut(open_rows.select("id").union(open_rows.select("hub")).distinct())), "id", "left_semi")
     own = sets.select("id", "n", *PLACE, "t")
     hubs = sets.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("t").alias("hub_t"))
     less = F.transform(F.array_except("hub_t", "t"), lambda x: F.xxhash64(x, F.lit("less")))
@@ -225,6 +228,7 @@ def shared_tokens(sets: DataFrame, scratch: Scratch) -> DataFrame:
         alone = F.col("alone") + F.coalesce("seen", F.lit(0)) - F.coalesce("shared", F.lit(0))
         left = left.join(seen, "id", "left").join(shared, "id", "left").select("id", "n", alone.alias("alone"))
         left = cut(left.where(F.col("alone") < prefix_length(F.col("n"))))
+        del lines, rows, counts, seen, shared
         scratch.release()
     ids = few_or_hashed(left.select("id"))
     rows = reduce(DataFrame.union, [f.join(ids, "id", "left_semi") for f in found])
@@ -239,9 +243,10 @@ def matched_lines(sets: DataFrame, scratch: Scratch) -> DataFrame:
     alone = F.col("n") - F.size("s")
     left = prefix_length(F.col("n")) - alone
     rows = lines.where(left > 0).select("id", "n", *PLACE, alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), left)).alias("pos", "x"))
-    rows = cut(rows.select("id", "n", *PLACE, (F.col("pos") + F.col("alone")).alias("pos"), "x.token"))
+    rows = scratch.stored(rows.select("id", "n", *PLACE, (F.col("pos") + F.col("alone")).alias("pos"), "x.token"))
+    scratch.release()
     buckets = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(*PLACE, "id", "n")).alias("first"))
-    rows = cut(rows.join(buckets.where("size > 1"), "token"))
+    rows = scratch.stored(rows.join(buckets.where("size > 1"), "token"))
     few = rows.where(F.col("size") <= HOT).drop("size", "first")
     need = F.ceil((F.col("n") + F.col("e_n")) * LEAST / (OF + LEAST))
     rest = F.least(F.col("n") - F.col("pos"), F.col("e_n") - F.col("e_pos"))
