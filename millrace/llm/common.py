@@ -10,6 +10,7 @@ import gc
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,17 @@ class Scratch:
         release(self.spark)
 
 
+def fresh(taken: list[str], *names: str) -> tuple[str, ...]:
+    """names, each with underscores before it until no column is called so (in any letter case)."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def packed(df: DataFrame, *columns: Column) -> DataFrame:
     """row (all of df's columns as one struct) beside columns of our own, whose names then clash with none."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *columns)
@@ -110,30 +122,48 @@ def held_out(doc_id: Column, n: int, remainder: int) -> Column:
 
 
 def sample_ids(keyed: DataFrame, rows: int) -> list:
-    """At most `rows` rows of `keyed` (a few narrow columns, doc_id among them), by a hash of the id.
+    """At most `rows` distinct ids of `keyed`, each once with its other (narrow) columns, by a hash of the id.
 
-    The rows are counted first, so that only about 1.5 times `rows` pass a threshold on the hash and
-    reach the driver, however many tasks there are.
+    Distinct ids are estimated first, so that only about twice `rows` of them pass a threshold on the hash and
+    reach the driver, however many tasks there are and however often an id is repeated.
     """
-    n = keyed.count()
+    n = keyed.agg(F.approx_count_distinct("doc_id")).first()[0]
     if not n:
         return []
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    near = keyed.where(part <= int(min(1.0, 1.5 * rows / n + 100 / n) * (1 << 40)))
-    return near.orderBy(part, *keyed.columns).limit(rows).collect()
+    near = keyed.where(part <= int(min(1.0, 2 * rows / n + 100 / n) * (1 << 40))).dropDuplicates(["doc_id"])
+    return near.orderBy(part, "doc_id").limit(rows).collect()
 
 
-def texts_of(documents: DataFrame, ids: list, schema: str, max_chars: int) -> list:
-    """The chosen ids (first column of each row) with the non-null texts of up to max_chars characters."""
+def texts_of(documents: DataFrame, ids: list, max_chars: int, *columns: str) -> list:
+    """doc_id, text and columns of one row of each chosen id (first of each of ids): of its non-null texts of up to
+    max_chars characters the one with the least hash. So no more rows than ids reach the driver, and a task keeps one
+    row of an id before any shuffle."""
     if not ids:
         return []
-    chosen = documents.sparkSession.createDataFrame([tuple(r) for r in ids], schema)
-    return (
-        documents.select("doc_id", "text")
+    chosen = documents.sparkSession.createDataFrame([(r[0],) for r in ids], documents.select("doc_id").schema)
+    found = (
+        documents.select("doc_id", "text", *columns)
         .where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
         .join(F.broadcast(chosen), "doc_id")  # as many rows as were sampled
-        .collect()
     )
+    least = F.min(F.struct(F.xxhash64("text", *columns).alias("h"), "text", *columns)).alias("x")
+    return found.groupBy("doc_id").agg(least).select("doc_id", "x.text", *[f"x.{c}" for c in columns]).collect()
+
+
+class Shipped:
+    """A model for the executors, with its class by value, as they may not have this package.
+
+    get() loads it once in a task.
+    """
+
+    def __init__(self, spark: SparkSession, model):
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+    def get(self):
+        import pickle
+
+        return pickle.loads(self.data.value)
 
 
 def labelled_sample(
@@ -150,5 +180,6 @@ def labelled_sample(
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
     )
-    found = texts_of(documents, sample_ids(keyed, rows), "doc_id long, y int", max_chars)
-    return sorted({(r.doc_id, r.text, r.y) for r in found})
+    ids = sample_ids(keyed, rows)
+    label_of = {r.doc_id: r.y for r in ids}
+    return sorted((r.doc_id, r.text, label_of[r.doc_id]) for r in texts_of(documents, ids, max_chars))

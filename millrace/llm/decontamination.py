@@ -4,12 +4,14 @@ Texts lower-case A-Z and split into words. A window is ten consecutive words of
 one window. Windows are aggregated to (hash, words) -> items and broadcast if their measured number
 is within BROADCAST_WINDOWS (else joined by a shuffle, which AQE splits where a window is hot). Documents
 are scanned once: a row per place and window length is generated and probed inside the same
-stage; equal hashes are verified word by word. A sentinel window that matches every document once carries
+stage; equal hashes are verified word by word. A sentinel window that matches each document once carries
 its row, so that neither a second scan nor a join back is needed. Only hits and one row per
 document are shuffled, by document.
 
-Defined cases: null and empty texts have no words and are clean; an empty benchmark leaves
-every document clean; rows equal in every column get equal results, once each; extra columns are ignored.
+Defined cases: null and empty texts have no words and are clean; an empty benchmark leaves every document clean and
+an empty table gives no rows; a null id is an id like any other; a text of any length is scanned whole, and only its
+windows' own words travel; rows of one id with other texts are apart, and equal rows get equal results, once each;
+items that tie on a window are all named, in order; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,14 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, let, small_or_not, table
+from millrace.llm.common import cut, let, packed, small_or_not, table
 
 WINDOW = 10
 BROADCAST_WINDOWS = 500_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Hash of the sentinel; a true hash that equals it fails the comparison of words.
-SENTINEL = 0
+#: Sentinel windows, with the hashes 0, 1, ... (a true hash that equals one has another length): each document has one of
+#: them, by its own hash, so that none is hot if windows are joined by a shuffle.
+SENTINELS = 1024
 
 
 def words(text: Column) -> Column:
@@ -53,8 +56,8 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     grams = cut(benchmark_windows(benchmark, window))
     lengths = [r["len"] for r in grams.select("len").distinct().collect()]  # at most `window` of them
     n_grams = grams.count()
-    sentinel = spark.range(1).select(
-        F.lit(SENTINEL).cast("long").alias("h"),
+    sentinel = spark.range(SENTINELS).select(
+        F.col("id").alias("h"),
         F.lit(None).cast("array<string>").alias("gram"),
         F.lit(0).alias("len"),
         F.array().cast("array<string>").alias("items"),
@@ -73,7 +76,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     probes = (
         docs.select("*", F.explode(places).alias("at"))
         .select("doc_id", "key", "n_words", "len", "at", F.slice("w", F.greatest(F.col("at"), F.lit(1)), F.col("len")).alias("gram"))
-        .withColumn("h", F.when(F.col("len") == 0, F.lit(SENTINEL).cast("long")).otherwise(F.xxhash64("gram")))
+        .withColumn("h", F.when(F.col("len") == 0, F.pmod(F.xxhash64("doc_id", "key"), F.lit(SENTINELS))).otherwise(F.xxhash64("gram")))
     )
     same = (
         (F.col("h") == F.col("t_h"))
@@ -130,15 +133,11 @@ def item_ids(found: Column) -> Column:
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, most_hit: float = 0.0) -> DataFrame:
     """The rows of documents whose share of hit words is at most `most_hit`; columns as given."""
     found = hits(documents, benchmark).select("doc_id", "key", "n_words", n_hit(F.col("found")).alias("n_hit"))
-    bad = (
-        found.where((F.col("n_hit") > 0) & (F.col("n_hit") > F.col("n_words") * most_hit))
-        .select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
-        .distinct()
-    )
-    bad = cut(bad)
-    bad = small_or_not(bad, bad.count(), 4_000_000)
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
-    return documents.join(bad, same, "left_anti")
+    bad = cut(found.where((F.col("n_hit") > 0) & (F.col("n_hit") > F.col("n_words") * most_hit)).select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct())
+    bad = small_or_not(bad, bad.count(), BROADCAST_WINDOWS)
+    docs = packed(documents, F.col("doc_id"), F.xxhash64("text").alias("key"))
+    same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("key") == F.col("bad_key"))
+    return docs.join(bad, same, "left_anti").select(*[F.col("row")[c].alias(c) for c in documents.columns])
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@ prediction is an average over a table of per-bucket logits, so whole texts are s
 A temperature is calibrated on held-back sample rows; documents whose calibrated probability
 falls under a threshold taken from those rows are marked as rejected.
 
-Defined cases: a null text or one without a letter gets `und`, score 0, rejected; an empty table or
-one without labels gives `und` throughout; repeated rows get equal predictions.
+Defined cases: a null text or one without a letter gets `und`, score 0, rejected; a null id or language is no lesson; an
+empty table gives no rows and one without labels `und` throughout; a very long text is read whole; repeated rows get
+equal predictions, and a repeated id teaches by one of its rows; languages that tie are settled by their names' order;
+other columns pass through, and new_names can name the new ones where an input column has such a name.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held_out, sample_ids, table, texts_of
+from millrace.llm.common import Shipped, held_out, sample_ids, table, texts_of
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 16, 4, 0.5
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
@@ -26,6 +28,8 @@ WINDOW_WORDS, WINDOWS = (2, 60), 3
 #: No document at or over this calibrated probability is rejected.
 MAX_THRESHOLD = 0.5
 
+NAMES = ("lang_pred", "lang_score", "lang_rejected")
+
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -115,24 +119,25 @@ class LanguageModel:
 
 def fit(documents: DataFrame) -> LanguageModel:
     """Learn from text and lang of at most SAMPLE_ROWS rows outside the held-out fold."""
-    keyed = documents.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
-    found = texts_of(documents, sample_ids(keyed, SAMPLE_ROWS), "doc_id long, lang string", SAMPLE_CHARS)
+    taught = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
+    found = texts_of(taught, sample_ids(taught.select("doc_id"), SAMPLE_ROWS), SAMPLE_CHARS, "lang")
     rows = sorted(set((r.doc_id, r.text, r.lang) for r in found))
     rows = [(text, lang) for _, text, lang in rows if any(c.isalpha() for c in text)]
     model = LanguageModel(sorted({lang for _, lang in rows}))
     return model.fit(rows) if rows else model
 
 
-def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of documents, with lang_pred, lang_score and lang_rejected added after them."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded: BUCKETS x languages
-    names = [*documents.columns, "lang_pred", "lang_score", "lang_rejected"]
+def identify(documents: DataFrame, model: LanguageModel, new_names: tuple[str, ...] = NAMES) -> DataFrame:
+    """All columns of documents, with lang_pred, lang_score and lang_rejected, or what new_names calls them, after them."""
+    shared = Shipped(documents.sparkSession, model)  # bounded: BUCKETS x languages
+    names = [*documents.columns, *new_names]
 
     def run(batches):
         import pyarrow as pa
 
+        predict = shared.get().predict
         for batch in batches:
-            found = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
+            found = [predict(t) for t in batch.column(names.index("text")).to_pylist()]
             new = [
                 pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))
             ]
@@ -141,8 +146,10 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
     schema = StructType(list(documents.schema.fields))
-    schema = schema.add("lang_pred", StringType()).add("lang_score", DoubleType()).add("lang_rejected", BooleanType())
-    return documents.mapInArrow(run, schema)
+    for name, kind in zip(new_names, (StringType(), DoubleType(), BooleanType()), strict=True):
+        schema = schema.add(name, kind)
+    # plain names on the way in: mapInArrow looks columns up by name, and takes a dot for a field
+    return documents.toDF(*[f"c{i}" for i in range(len(documents.columns))]).mapInArrow(run, schema)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import sample_ids, table, texts_of
+from millrace.llm.common import Shipped, sample_ids, table, texts_of
 
 #: Common short notices of each family.
 TEMPLATES = {
@@ -276,20 +276,21 @@ class LicenceModel:
 
 def fit(documents: DataFrame) -> LicenceModel:
     ids = sample_ids(documents.select("doc_id").where(F.col("doc_id").isNotNull()), SAMPLE_ROWS)
-    rows = sorted((r.doc_id, r.text) for r in texts_of(documents, ids, "doc_id long", SAMPLE_CHARS))
+    rows = sorted((r.doc_id, r.text) for r in texts_of(documents, ids, SAMPLE_CHARS))
     return LicenceModel().fit([line for _, text in rows for line in text.split("\n")][: 5 * SAMPLE_ROWS])
 
 
 def scan_documents(documents: DataFrame, model: LicenceModel) -> DataFrame:
     """doc_id, license_family, license_score, n_paragraphs, n_license_paragraphs, families."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the templates
+    shared = Shipped(documents.sparkSession, model)  # bounded by the templates
 
     def run(batches):
         import pyarrow as pa
 
         kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string())
+        scan = shared.get().scan
         for batch in batches:
-            found = [shared.value.scan(t) for t in batch.column("text").to_pylist()]
+            found = [scan(t) for t in batch.column("text").to_pylist()]
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=names)
 

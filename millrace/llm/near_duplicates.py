@@ -21,8 +21,9 @@ then compared with the others of that star, less those that the triangle inequal
 out. That completes the join: links within a component that is already joined need not be known.
 
 Defined cases: null and empty texts (or white space alone) have no shingles and are components of
-their own; a null id has a null component and links nothing; repeated rows are exact copies; very
-long texts are read whole; an empty table gives no rows.
+their own; a null id has a null component and links nothing; repeated rows are exact copies, and rows of one id share its
+component's name though their texts differ; very long texts are read whole; ties go to the least id; other columns are
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import blocks
-from millrace.llm.common import cut, release, small_or_not, stored, table
+from millrace.llm.common import Scratch, cut, packed, release, small_or_not, stored, table
 from millrace.llm.components import connected_components
+from millrace.llm.line_dedup import prefix_length, shared_tokens
 
 WORDS, LEAST, OF = 5, 80, 100
 #: Linked sets differ in at most LEAST_SUM / OF_SUM of their summed sizes.
@@ -385,24 +387,18 @@ def dependent_classes(stars: DataFrame, local: DataFrame) -> DataFrame:
     return depends.union(behind).distinct()
 
 
-def rare_prefix_stars(sets: DataFrame) -> DataFrame:
-    """Star pairs (a, b) of sets(key, members) by the shingles of their prefixes, rarest first.
+def rare_prefix_stars(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Star pairs (a, b) of sets(id, t) by the shingles of their prefixes, rarest first.
 
     Shingles of one set only have no partner; the rest of a prefix is what remains after them.
     """
-    sized = sets.select("key", F.size("members").alias("n"), F.explode("members").alias("token"))
-    common = sized.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    ordered = (
-        sized.join(common, "token")
-        .groupBy("key")
-        .agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("t"))
-    )
-    prefix = F.col("n") - F.ceil(F.col("n") * LEAST / OF).cast("int") + 1
-    left = prefix - (F.col("n") - F.size("t"))
-    rows = ordered.where(left > 0).select("key", F.explode(F.slice("t", F.lit(1), left)).alias("x")).select("key", "x.token")
-    rows = cut(rows)
-    heads = rows.groupBy("token").agg(F.min("key").alias("a"))
-    return rows.join(heads, "token").where("a <> key").select("a", F.col("key").alias("b")).distinct()
+    sized = sets.select("id", F.size("t").alias("n"), "t")
+    ordered = sized.select("id", "n").join(shared_tokens(sized, scratch), "id")
+    left = prefix_length(F.col("n")) - (F.col("n") - F.size("s"))
+    rows = ordered.where(left > 0).select("id", F.explode(F.slice("s", F.lit(1), left)).alias("x")).select("id", "x.token")
+    rows = scratch.stored(rows)
+    heads = rows.groupBy("token").agg(F.min("id").alias("a"))
+    return rows.join(heads, "token").where("a <> id").select("a", F.col("id").alias("b")).distinct()
 
 
 def class_links(documents: DataFrame, classes: DataFrame, shingle_total: int) -> DataFrame:
@@ -418,7 +414,10 @@ def class_links(documents: DataFrame, classes: DataFrame, shingle_total: int) ->
     local = behind.select("a", "b")
     verify = Verifier(documents, classes)
     depends = cut(dependent_classes(stars, local))
-    crowded = cut(rare_prefix_stars(stored(verify.sets(depends), "dependent-sets")))
+    scratch = Scratch(spark, "dependent")
+    dependent = scratch.stored(verify.sets(depends).select(F.col("key").alias("id"), F.col("members").alias("t")))
+    crowded = cut(rare_prefix_stars(dependent, scratch))
+    scratch.drop(dependent)
     pairs = cut(stars.where(F.col("kind") == COLD).select("a", "b").union(crowded).distinct())
     release(spark)
 
@@ -522,5 +521,34 @@ def near_duplicate_components(documents: DataFrame) -> DataFrame:
     )
 
 
+def one_of_each_group(documents: DataFrame) -> DataFrame:
+    """The rows of documents less near duplicates: of each component the row of the least doc_id stays (null ids last).
+
+    A row is known by its id and its text, so rows of one id with other texts are apart, and of equal
+    rows one stays. Rows without a shingle stay.
+    """
+    docs = packed(documents, F.col("doc_id"), F.xxhash64("doc_id", "text").alias("node"), F.col("text"))
+    found = near_duplicate_components(docs.select(F.col("node").alias("doc_id"), "text")).where("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("node")).agg(F.min("component_id").alias("component"), F.count(F.lit(1)).alias("rows"))
+    crowds = found.groupBy("component").agg(F.sum("rows").alias("rows")).where("rows > 1").select("component")
+    ids = docs.select("node", "doc_id").distinct()
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    # only groups of more than one row need a row here
+    members = cut(found.join(crowds, "component").join(ids, "node").select("component", "node", "rows", "doc_id", rank.alias("rank")))
+    first = members.groupBy("component").agg(F.min("rank").alias("first"))
+    marked = members.join(first, "component").where("rank <> first or rows > 1")
+    marked = cut(marked.select(F.col("doc_id").alias("m_id"), F.col("node").alias("m_node"), (F.col("rank") == F.col("first")).alias("kept")))
+    same = (F.col("node") == F.col("m_node")) & F.col("doc_id").eqNullSafe(F.col("m_id"))
+    joined = docs.join(small_or_not(marked, marked.count(), BROADCAST_IDS), same, "left").select("row", "doc_id", "node", "kept")
+    row = [F.col("row")[c].alias(c) for c in documents.columns]
+    rest = joined.where("kept is null").select(*row)
+    again = marked.where("kept")
+    if again.isEmpty():
+        return rest
+    # repeated rows: the first that a task meets, then one of those
+    once = joined.where("kept").groupBy("doc_id", "node").agg(F.first("row").alias("row"))
+    return rest.unionByName(once.select(*row))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(table(spark, sf_dir, "documents"))

@@ -59,6 +59,44 @@ def test_toxicity_learns_pairs():
     assert toxicity.FactorizationMachine().fit([], []).score("x") < 0.5
 
 
+def test_toxicity_learns_a_pair_whose_terms_tell_nothing_alone():
+    rnd = random.Random(4)
+    texts, labels = [], []
+    for _ in range(4000):  # toxic if exactly one of the two words is there
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        texts.append(prose(rnd, EN, 20) + " insultword" * a + " groupword" * b)
+        labels.append(int(a != b))
+    model = toxicity.FactorizationMachine().fit(texts[:3200], labels[:3200])
+    assert np.mean([(model.score(t) >= 0.5) == y for t, y in zip(texts[3200:], labels[3200:], strict=True)]) > 0.95
+
+
+def test_toxicity_score_is_the_plain_sum_over_pairs():
+    rnd = random.Random(8)
+    texts = [prose(rnd, EN, 15) + rnd.choice([" badword", " goodword"]) for _ in range(600)]
+    model = toxicity.FactorizationMachine().fit(texts, [int("bad" in t) for t in texts])
+    for text in [*texts[:20], "", None, "badword goodword badword"]:
+        at = [model.place[b] for b in toxicity.term_buckets(text) if b in model.place]
+        margin = model.w0 + sum(model.w[i] for i in at)
+        margin += sum(float(model.v[i] @ model.v[j]) for k, i in enumerate(at) for j in at[:k])
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
+def test_paired_terms_are_counted_whole(monkeypatch):
+    rng = np.random.default_rng(0)
+    y = rng.integers(0, 2, 300).astype(float)
+    docs = [np.flatnonzero(rng.random(23) < 0.4).astype(np.int32) * 5 for _ in y]
+    terms = np.arange(0, 23) * 5
+    want = np.zeros(23)
+    for i in range(23):
+        for j in range(23):
+            both = np.array([5 * i in d and 5 * j in d for d in docs])
+            if i != j:
+                want[i] = max(want[i], toxicity.deviation(y[both].sum(), both.sum(), y.mean()))
+    for size in (4, 512):
+        monkeypatch.setattr(toxicity, "PAIR_BLOCK", size)
+        assert toxicity.paired_terms(docs, y, terms) == pytest.approx(want, rel=1e-4)
+
+
 def test_toxicity_sample_is_whole(monkeypatch):
     asked = []
     monkeypatch.setattr(toxicity, "labelled_sample", lambda *a: asked.append(a[-2]) or [])
