@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import lean, table
 
 #: Encoded pieces that a task keeps before it starts afresh.
 CACHE_PIECES = 300_000
@@ -235,7 +235,7 @@ def encode_documents(
     names = [field.split()[0] for field in schema.split(", ")]
     return documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    ).mapInArrow(run, schema)
+    ).mapInArrow(lean(run), schema)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None) -> DataFrame:

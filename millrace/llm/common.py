@@ -97,6 +97,30 @@ def packed(df: DataFrame, *columns: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *columns)
 
 
+def lean(run):
+    """run, a function of Arrow batches, that hands the memory of its task back when it is done.
+
+    Workers outlive their tasks; what an allocator keeps in them would be missing in the stages after.
+    """
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not on every system
+            if trim:
+                trim(0)
+
+    return task
+
+
 def small_or_not(df: DataFrame, n_rows: int, limit: int) -> DataFrame:
     """Hint a broadcast only when the measured row count is within the limit; else a shuffle join."""
     return F.broadcast(df) if n_rows <= limit else df.hint("merge")

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, release
+from millrace.llm.common import cut, lean, release
 
 
 #: Links of two 64-bit nodes that one task joins, some tens of MB there; more are joined by rounds of shuffles.
@@ -41,7 +41,7 @@ def in_one_task(edges: DataFrame) -> DataFrame:
             found = least_reachable(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["node", "component"])
 
-    return edges.coalesce(1).mapInArrow(run, "node long, component long")
+    return edges.coalesce(1).mapInArrow(lean(run), "node long, component long")
 
 
 def connected_components(links: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Shipped, held_out, sample_ids, table, texts_of
+from millrace.llm.common import Shipped, held_out, lean, sample_ids, table, texts_of
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 16, 4, 0.5
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
@@ -149,7 +149,7 @@ def identify(documents: DataFrame, model: LanguageModel, new_names: tuple[str, .
     for name, kind in zip(new_names, (StringType(), DoubleType(), BooleanType()), strict=True):
         schema = schema.add(name, kind)
     # plain names on the way in: mapInArrow looks columns up by name, and takes a dot for a field
-    return documents.toDF(*[f"c{i}" for i in range(len(documents.columns))]).mapInArrow(run, schema)
+    return documents.toDF(*[f"c{i}" for i in range(len(documents.columns))]).mapInArrow(lean(run), schema)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

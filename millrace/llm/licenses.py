@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Shipped, sample_ids, table, texts_of
+from millrace.llm.common import Shipped, lean, sample_ids, table, texts_of
 
 #: Common short notices of each family.
 TEMPLATES = {
@@ -296,7 +296,7 @@ def scan_documents(documents: DataFrame, model: LicenceModel) -> DataFrame:
 
     names = ["doc_id", "license_family", "license_score", "n_paragraphs", "n_license_paragraphs", "families"]
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run,
+        lean(run),
         "doc_id long, license_family string, license_score double, n_paragraphs long, n_license_paragraphs long, families string",
     )
 

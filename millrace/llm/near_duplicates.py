@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import blocks
-from millrace.llm.common import Scratch, cut, packed, release, small_or_not, stored, table
+from millrace.llm.common import Scratch, cut, lean, packed, release, small_or_not, stored, table
 from millrace.llm.components import connected_components
 from millrace.llm.line_dedup import prefix_length, shared_tokens
 
@@ -169,7 +169,7 @@ def document_sets(documents: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "key", "sketch"])
 
-    return documents.mapInArrow(run, "doc_id long, n_shingles long, key long, sketch array<bigint>")
+    return documents.mapInArrow(lean(run), "doc_id long, n_shingles long, key long, sketch array<bigint>")
 
 
 def local_links(keys: np.ndarray, sets: list[np.ndarray], sigs: list[np.ndarray]):
@@ -248,7 +248,7 @@ def block_links(documents: DataFrame, parts: int) -> DataFrame:
                 [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["part", "kind", "a", "b", "c"]
             )
 
-    return documents.mapInArrow(run, "part long, kind int, a binary, b binary, c binary")
+    return documents.mapInArrow(lean(run), "part long, kind int, a binary, b binary, c binary")
 
 
 def bucket_stars(rows: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def bucket_stars(rows: DataFrame) -> DataFrame:
         pairs = np.unique(np.concatenate(near), axis=0)
         yield out(COLD, pairs[:, 0], pairs[:, 1])
 
-    return rows.mapInArrow(run, "kind int, a long, b long, c long")
+    return rows.mapInArrow(lean(run), "kind int, a long, b long, c long")
 
 
 class Verifier:
@@ -362,7 +362,7 @@ class Verifier:
                 )
 
         texts = self.documents.join(small_or_not(picked, n, BROADCAST_IDS), "doc_id").select("key", "text")
-        return texts.mapInArrow(run, "key long, members array<bigint>").dropDuplicates(["key"])
+        return texts.mapInArrow(lean(run), "key long, members array<bigint>").dropDuplicates(["key"])
 
 
 def component_of(df: DataFrame, components: DataFrame, column: str) -> DataFrame:

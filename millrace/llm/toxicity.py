@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Shipped, held_out, labelled_sample, table
+from millrace.llm.common import Shipped, held_out, labelled_sample, lean, table
 
 BUCKETS, FACTORS, EPOCHS, RATE, DECAY = 1 << 20, 8, 25, 0.15, 1e-4
 SAMPLE_ROWS, SAMPLE_CHARS = 16_000, 20_000
@@ -159,7 +159,7 @@ def score_texts(documents: DataFrame, model, name: str = "score") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], names=["doc_id", name])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, f"doc_id long, {name} double"
+        lean(run), f"doc_id long, {name} double"
     )
 
 
