@@ -71,16 +71,47 @@ def skewed(events: DataFrame, d: Disorder, seed: int) -> DataFrame:
     )
 
 
+def at_places(events: DataFrame, places: list[int]) -> list[tuple[int, str, str]]:
+    """(microseconds, machine_id, event_id) of the events at `places` (from 0) of the order by event_time and these two.
+
+    Events are counted by hour, then by second in an hour that holds a place; only the events of that second
+    are ever put in order. So what reaches the driver are a number for each hour, and 3,600 more for each place.
+    """
+    second = F.unix_seconds("event_time")
+
+    def holding(parts, count_of, place: int, start: int):
+        for part in parts:
+            if place < start + count_of[part]:
+                return part, start
+            start += count_of[part]
+
+    def counted(rows: DataFrame, part) -> dict[int, int]:
+        return {r.part: r.n for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    hours, out = counted(events, F.floor(second / 3600)), []
+    for place in places:
+        hour, start = holding(sorted(hours), hours, place, 0)
+        inside = events.where(F.floor(second / 3600) == hour)
+        seconds = counted(inside, second)
+        at, start = holding(sorted(seconds), seconds, place, start)
+        order = inside.where(second == at).select(F.unix_micros("event_time").alias("t"), "machine_id", "event_id")
+        out.append(tuple(order.orderBy(*order.columns).offset(place - start).limit(1).first()))
+    return out
+
+
 def drifted(events: DataFrame, d: Disorder) -> DataFrame:
-    """A cutover, not a scatter: all after a point of event time carry version 2, all after a later one version 3."""
+    """A cutover, not a scatter: of n events in the order of event time, those from index int(n * schema_drift_at) on carry
+    version 2, those from int(n * schema_v3_at) on version 3."""
     if d.schema_drift_at is None:
         return events
-    micros = F.unix_micros("event_time")
+    n = events.count()
     shares = [d.schema_drift_at] + ([d.schema_v3_at] if d.schema_v3_at is not None else [])
-    cuts = events.agg(*[F.percentile(micros, s).alias(f"c{i}") for i, s in enumerate(shares)]).first()
+    first = [int(n * share) for share in shares]
+    first = [k for k in (first[0], max(first)) if k < n][: len(first)]  # version 3 is within the tail of version 2
+    own = F.struct(F.unix_micros("event_time"), "machine_id", "event_id")
     version = F.lit(1)
-    for i in range(len(shares)):
-        version = F.when(micros > F.lit(float(cuts[i] if cuts[i] is not None else 0)), i + 2).otherwise(version)
+    for v, (micros, machine, event) in enumerate(at_places(events, first), 2):
+        version = F.when(own >= F.struct(F.lit(micros).cast("long"), F.lit(machine), F.lit(event)), v).otherwise(version)
     return events.withColumn("schema_version", version.cast("int")).withColumn(
         "payload", versioned_payload(F.col("schema_version"), F.col("event_type"), F.col("payload"))
     )
@@ -150,6 +181,27 @@ def inject(events: DataFrame, d: Disorder, seed: int) -> tuple[DataFrame, DataFr
     return canonical, published
 
 
+def injection_summary(canonical: DataFrame, published: DataFrame, d: Disorder) -> dict[str, int]:
+    """What inject() did, as InjectionLog.summary() has it for the other mode; two aggregates."""
+    a = canonical.agg(
+        F.count_if("is_late").alias("late"),
+        F.count_if(F.col("duplicate_extra") > 0).alias("duplicated"),
+        F.coalesce(F.sum("duplicate_extra"), F.lit(0)).alias("duplicate_extra"),
+        F.count_if("is_corrupt").alias("corrupt"),
+        F.count_distinct("machine_id").alias("machines"),
+    ).first()
+    moved = published.where("is_reordered and copy = 0").count()
+    skewed_machines = min(d.skewed_machines, a.machines) if d.skew_max_seconds else 0
+    return {
+        "late": a.late,
+        "duplicated": a.duplicated,
+        "duplicate_extra": a.duplicate_extra,
+        "out_of_order": moved,
+        "corrupt": a.corrupt,
+        "skewed_machines": skewed_machines,
+    }
+
+
 @dataclass
 class InjectionLog:
     late: set[str] = field(default_factory=set)

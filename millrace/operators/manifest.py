@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from millrace.functions.exprs import id_checksum, seconds_sum, window_start
 
 
-def build_manifest(events: DataFrame) -> DataFrame:
-    """events: event_id, event_type, machine_id, event_time, duration_s, is_corrupt, duplicate_extra, is_late."""
+def build_manifest(events: DataFrame, with_ids: bool = False) -> DataFrame:
+    """events: event_id, event_type, machine_id, event_time, duration_s, is_corrupt, duplicate_extra, is_late.
+
+    `with_ids` adds good_checksum, over the ids that should land, for a strict ledger.
+    """
     corrupt, kind = F.col("is_corrupt"), F.col("event_type")
 
     def count(which: Column) -> Column:
@@ -31,6 +34,7 @@ def build_manifest(events: DataFrame) -> DataFrame:
         count(corrupt & (kind == "cycle")).alias("corrupt_cycle_count"),
         count(corrupt & (kind == "defect")).alias("corrupt_defect_count"),
         seconds(corrupt & (kind == "cycle")).alias("corrupt_duration_sum_s"),
+        *([id_checksum(F.when(~corrupt, F.col("event_id"))).alias("good_checksum")] if with_ids else []),
     )
 
 

@@ -34,7 +34,9 @@ def parsed(messages: DataFrame, ingest_ts: Column | None = None, bootstrap: bool
         "*", strict_json(F.col("text")).alias("is_json"), F.json_object_keys("text").alias("keys")
     )
     names = (*REQUIRED, "schema_version", "payload", *(("_raw", "_key") if bootstrap else ()))
-    fields = looked.select("*", *[F.when(F.col("is_json"), F.get_json_object("text", f"$.{k}")).alias(f"f_{k}") for k in names])
+    # all fields in one pass over the text; of text that is not JSON, none
+    whole = F.when(F.col("is_json"), F.col("text"))
+    fields = looked.select("*", F.json_tuple(whole, *names).alias(*[f"f_{k}" for k in names]))
     get = lambda k: F.col(f"f_{k}")
     has = lambda k: F.array_contains("keys", k)
     typed = fields.select(

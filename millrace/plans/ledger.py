@@ -38,8 +38,9 @@ def completeness_ledger(
 ) -> DataFrame:
     """18 columns per machine and window, status reconciled, pending or broken.
 
-    `strict` compares id checksums where agg carries observed_checksum and the manifest good_checksum, takes a
-    window whose every event was corrupted as reconciled, and lets a fresh missing window be pending.
+    `strict` compares id checksums where agg carries observed_checksum (with the manifest's good_checksum, or without such a
+    column its checksum of all ids where none was corrupted), takes a window whose every event was corrupted
+    as reconciled, and lets a fresh missing window be pending.
     """
     if as_of is None:
         now = F.current_timestamp()
@@ -59,7 +60,9 @@ def completeness_ledger(
         "duration": F.coalesce("a.cycle_duration_sum_s", F.lit(0.0)),
     }
     j = joined(manifest, agg)
-    compare_ids = strict and "good_checksum" in manifest.columns and "observed_checksum" in agg.columns
+    compare_ids = strict and "observed_checksum" in agg.columns
+    whole = F.when(F.col("m.corrupt_count") == 0, F.col("m.event_id_checksum")) if "event_id_checksum" in manifest.columns else F.lit(None)
+    good = F.col("m.good_checksum") if "good_checksum" in manifest.columns else whole
     rows = j.select(
         "machine_id",
         "window_start",
@@ -76,7 +79,7 @@ def completeness_ledger(
         F.col("m").isNull().alias("missing_from_manifest"),
         F.col("a").isNull().alias("missing_from_gold"),
         (
-            F.coalesce(F.col("m.good_checksum") != F.col("a.observed_checksum"), F.lit(False)) if compare_ids else F.lit(False)
+            F.coalesce(good != F.col("a.observed_checksum"), F.lit(False)) if compare_ids else F.lit(False)
         ).alias("ids_differ"),
     )
     equal = (

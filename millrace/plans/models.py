@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.exprs import date_diff, duration_seconds, seconds_sum, window_start
+from millrace.functions.exprs import date_diff, duration_seconds, id_checksum, seconds_sum, window_start
 from millrace.schemas import PAYLOAD
 
 LATE_SECONDS = 60
@@ -109,8 +109,9 @@ def dim_machine(slv: DataFrame) -> DataFrame:
     )
 
 
-def agg_window_machine(slv: DataFrame) -> DataFrame:
-    """One row per machine and window that has an event; empty windows are not filled in."""
+def agg_window_machine(slv: DataFrame, with_ids: bool = False) -> DataFrame:
+    """One row per machine and window that has an event; empty windows are not filled in. `with_ids` adds observed_checksum, over
+    the ids that landed, for a strict ledger."""
     kind = lambda t: F.count_if(F.col("event_type") == t)
     return slv.groupBy("machine_id", "window_start").agg(
         F.count(F.lit(1)).alias("event_count"),
@@ -122,6 +123,7 @@ def agg_window_machine(slv: DataFrame) -> DataFrame:
         seconds_sum(F.when(F.col("event_type") == "cycle", F.col("duration_s"))).alias("cycle_duration_sum_s"),
         F.count_if("is_late").alias("late_count"),
         F.max("publish_lag_s").alias("max_publish_lag_s"),
+        *([id_checksum("event_id").alias("observed_checksum")] if with_ids else []),
     )
 
 

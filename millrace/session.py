@@ -11,6 +11,8 @@ CONF = {
     # dt and hr stay strings, so '07' is not read as 7
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # a generated method of more bytes is never compiled by the JVM, and then slower than none
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }

@@ -1,12 +1,13 @@
 """Readers and writers of the lake: JSON lines, bronze, quarantine, manifests, model tables.
 
-Layout: bronze/dt=/hr=/batch=, quarantine/dt=/batch=, manifests/dt=/window_key=. A batch rewrites its own
+Layout: bronze/dt=/hr=/batch=, quarantine/dt=/batch=, manifests/dt=. A batch rewrites its own
 partitions only (dynamic overwrite), so a replayed batch replaces what it wrote. Readers list directories; there is
 no partition registry to go stale. Any Hadoop URI is a root.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,8 +30,12 @@ def bootstrap_messages(lines: DataFrame) -> DataFrame:
     no partition of the topic is gathered in one task.
     """
     key = F.coalesce(F.get_json_object("value", "$._key"), F.get_json_object("value", "$.machine_id"))
-    keyed = lines.select(key.alias("key"), "value", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("line"))
-    keyed = keyed.withColumn("partition", key_partition("key"))
+    task, line = F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("line")
+    return numbered(lines.select(key.alias("key"), "value", task, line).withColumn("partition", key_partition("key")))
+
+
+def numbered(keyed: DataFrame) -> DataFrame:
+    """Messages (key, value, partition, task, line) with the offset of each in its partition, in place of task and line."""
     within = W.partitionBy("partition", "task").orderBy("line")
     counts = keyed.groupBy("partition", "task").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("partition").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
@@ -69,11 +74,21 @@ def write_quarantine(rejects: DataFrame, root: str, batch: str) -> None:
 
 
 def write_manifest(manifest: DataFrame, root: str) -> None:
-    """One directory for each window, so rewriting a window is idempotent."""
-    keyed = manifest.withColumn("dt", F.date_format("window_start", "yyyy-MM-dd")).withColumn(
-        "window_key", F.date_format("window_start", "yyyyMMdd'T'HHmm")
-    )
-    _write(keyed.repartition("window_key"), f"{root}/manifests", "dt", "window_key")
+    """One directory for each day. A day that is written again keeps what it held of other windows, so rewriting a
+    window is idempotent."""
+    manifest = manifest.select(*MANIFEST.fieldNames())
+    path, own = f"{root}/manifests", MANIFEST.fieldNames()
+    day = F.date_format("window_start", "yyyy-MM-dd")
+    held = manifest.sparkSession.createDataFrame([], manifest.schema)
+    try:
+        held = manifest.sparkSession.read.schema(manifest.schema).parquet(path).select(*own)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):  # nothing written yet
+            raise
+    kept = held.join(manifest.select(day.alias("dt")).distinct(), day == F.col("dt"), "left_semi")
+    kept = kept.join(manifest.select("window_start").distinct(), "window_start", "left_anti").select(*own)
+    both = manifest.unionByName(kept).withColumn("dt", day)
+    _write(both.repartition("dt"), path, "dt")
 
 
 def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -85,6 +100,15 @@ def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
         raise
 
 
+def _read_topic(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(MESSAGE).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], MESSAGE)
+        raise
+
+
 def read_bronze(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, f"{root}/bronze", BRONZE)
 
@@ -94,32 +118,95 @@ def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).parquet(f"{root}/manifests")
+    return spark.read.schema(MANIFEST).parquet(f"{root}/manifests").select(*MANIFEST.fieldNames())
+
+
+MODELS = ("slv_events", "agg_window_machine", "dim_machine", "fct_cycles", "fct_defects", "completeness_ledger")
 
 
-def register_views(spark: SparkSession, root: str) -> None:
+def register_views(spark: SparkSession, root: str) -> list[str]:
+    """The lake's tables and the models that have been built, as views that spark.sql() can name; their names."""
+    names = []
     for name, frame in (("bronze", read_bronze), ("quarantine", read_quarantine), ("manifests", read_manifests)):
         frame(spark, root).createOrReplaceTempView(name)
+        names.append(name)
+    for name in MODELS:
+        try:
+            spark.read.parquet(f"{root}/warehouse/{name}").createOrReplaceTempView(name)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):  # not built yet
+                raise
+        else:
+            names.append(name)
+    return names
+
+
+def register_tables(spark: SparkSession, root: str, database: str) -> list[str]:
+    """The lake's tables in the catalog, as external tables over their directories; partitions that are there are found.
+    A reader sees directories that come later after another call."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    names = []
+    for name, schema, by in (("bronze", BRONZE, ("dt", "hr", "batch")), ("quarantine", QUARANTINE, ("dt", "batch")), ("manifests", MANIFEST, ("dt",))):
+        kept = StructType([f for f in schema.fields if f.name not in by])
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
+        parts = ", ".join(f"`{c}` string" for c in by)
+        spark.sql(f"DROP TABLE IF EXISTS `{database}`.{name}")  # external: its files stay
+        spark.sql(f"CREATE TABLE `{database}`.{name} ({columns}, {parts}) USING parquet PARTITIONED BY ({', '.join(by)}) LOCATION '{root}/{name}'")
+        spark.sql(f"MSCK REPAIR TABLE `{database}`.{name}")
+        names.append(f"{database}.{name}")
+    return names
+
+
+def _broken(messages: DataFrame) -> bool:
+    return "corrupt_text" in messages.columns
 
 
 def write_events(messages: DataFrame, path: str) -> None:
     """messages(key, value[, corrupt_text]) as JSON lines; a corrupt one as its key and raw text."""
     value = F.col("value")
-    if "corrupt_text" in messages.columns:
+    if _broken(messages):
         broken = F.to_json(F.struct(F.col("key").alias("_key"), F.col("corrupt_text").alias("_raw")))
         value = F.when(F.col("corrupt_text").isNotNull(), broken).otherwise(value)
     messages.select(value.alias("value")).write.mode("overwrite").text(path)
 
 
+def as_sent(messages: DataFrame) -> DataFrame:
+    """messages as they go to a topic: a corrupt one has its broken text as its value."""
+    return messages.withColumn("value", F.coalesce("corrupt_text", "value")) if _broken(messages) else messages
+
+
+def published(lines: DataFrame) -> DataFrame:
+    """JSON lines as messages for a topic: keyed by machine; a marked corrupt line keeps its key and sends its raw text."""
+    raw = F.get_json_object("value", "$._raw")
+    marked = F.array_contains(F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")), "_raw")
+    sent = bootstrap_messages(lines)
+    return sent.withColumn("value", F.when(marked, F.coalesce(raw, F.lit(""))).otherwise(F.col("value")))
+
+
+def after_last(messages: DataFrame, path: str) -> DataFrame:
+    """messages with their offsets moved behind the last of each partition of a file topic."""
+    last = _read_topic(messages.sparkSession, path).groupBy("partition").agg((F.max("offset") + 1).alias("next"))
+    moved = messages.join(F.broadcast(last), "partition", "left")  # a row for each partition of the topic
+    return moved.withColumn("offset", F.col("offset") + F.coalesce("next", F.lit(0))).drop("next")
+
+
 def write_topic(messages: DataFrame, path: str) -> None:
-    """A file topic: key, value, partition, offset as Parquet, appended."""
+    """A file topic: key, value, partition, offset as Parquet, appended. Messages without an offset get the next ones of
+    their partition, in the order of the injector's places or slots."""
+    messages = as_sent(messages)
+    if "offset" not in messages.columns:
+        by = [c for c in ("place", "key", "slot", "copy") if c in messages.columns]
+        ordered = messages.repartitionByRange(*by).sortWithinPartitions(*by)
+        task, line = F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("line")
+        messages = after_last(numbered(ordered.select("key", "value", "partition", task, line)), path)
     messages.select(*MESSAGE.fieldNames()).write.mode("append").parquet(path)
 
 
 def write_kafka(messages: DataFrame, servers: str, topic: str) -> None:
     """To a broker, with the partition set so that the layout does not depend on a client's hash."""
     (
-        messages.select("key", "value", "partition")
+        as_sent(messages)
+        .select("key", "value", "partition")
         .write.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("kafka.acks", "all")
@@ -131,6 +218,19 @@ def write_kafka(messages: DataFrame, servers: str, topic: str) -> None:
     )
 
 
+def publish(spark: SparkSession, events: str, topic: str, servers: str | None = None) -> dict[str, int]:
+    """JSON lines to a broker's topic, or to a file topic where no servers are named.
+
+    A write that fails raises, and Spark's sinks take a batch or refuse it, so of what is counted none has failed.
+    """
+    messages = published(read_lines(spark, events))
+    if servers:
+        write_kafka(messages, servers, topic)
+    else:
+        write_topic(after_last(messages, topic), topic)
+    return {"sent": messages.count(), "failed": 0}
+
+
 def load(spark: SparkSession, events: str, manifest: str | None, root: str, batch: str = "bootstrap") -> dict[str, int]:
     """The broker-free load: JSON lines to bronze and quarantine, manifest lines to manifests."""
     frame = parse.parsed(bootstrap_messages(read_lines(spark, events)), bootstrap=True).persist()

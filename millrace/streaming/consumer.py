@@ -7,6 +7,10 @@ which the second run overwrites. The time of ingestion is kept with the batch, s
 
 from __future__ import annotations
 
+import json
+import signal
+import threading
+import time
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -19,11 +23,21 @@ from millrace.schemas import MESSAGE
 from millrace.sources.lake import write_bronze, write_quarantine
 
 BATCH_ROWS, INTERVAL = 5000, "30 seconds"
+#: Of a file topic: BATCH_ROWS messages of some 300 bytes in each of six partitions, compressed about four times.
+BATCH_BYTES = "2m"
 
 
-def file_topic(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+def file_topic(
+    spark: SparkSession, path: str, max_files: int | None = None, max_bytes: str | None = None, earliest: bool = True
+) -> DataFrame:
+    """Files bound a batch by their number or bytes, not by rows: about BATCH_ROWS a partition fit BATCH_BYTES. Without
+    `earliest` only files that are written from now on are read."""
     reader = spark.readStream.schema(MESSAGE)
-    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
+    for option, value in (("maxFilesPerTrigger", max_files), ("maxBytesPerTrigger", max_bytes)):
+        reader = reader.option(option, value) if value else reader
+    if not earliest:
+        reader = reader.option("modifiedAfter", datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S")).option("timeZone", "UTC")
+    return reader.parquet(path)
 
 
 def kafka_topic(spark: SparkSession, servers: str, topic: str, earliest: bool = True, rows: int = BATCH_ROWS * 6) -> DataFrame:
@@ -54,7 +68,24 @@ def _batch_time(spark: SparkSession, root: str, group: str, batch_id: int) -> da
         source.close()
 
 
-def sink(root: str, group: str, fail: Callable[[int], None] | None = None) -> Callable[[DataFrame, int], None]:
+class Counts:
+    """Rows and batches of one consumer since it started; a retried batch counts once."""
+
+    def __init__(self):
+        self.batches: dict[int, tuple[int, int]] = {}
+
+    def add(self, batch_id: int, records: int, rejects: int) -> None:
+        self.batches[batch_id] = records, rejects
+
+    def total(self) -> dict[str, int]:
+        records, rejects = (sum(b[i] for b in self.batches.values()) for i in (0, 1))
+        return {"consumed": records + rejects, "records": records, "rejects": rejects, "commits": len(self.batches)}
+
+
+_COUNTS: dict[str, Counts] = {}
+
+
+def sink(root: str, group: str, fail: Callable[[int], None] | None = None, counts: Counts | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch function; `fail(batch_id)` runs between the two writes, for tests of a crash."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -66,6 +97,9 @@ def sink(root: str, group: str, fail: Callable[[int], None] | None = None) -> Ca
             if fail:
                 fail(batch_id)
             write_quarantine(parse.rejects(frame), root, f"{group}-{batch_id:08d}")
+            if counts is not None:
+                good = F.col("error").isNull()
+                counts.add(batch_id, *frame.agg(F.count_if(good), F.count_if(~good)).first())
         finally:
             frame.unpersist()
 
@@ -82,19 +116,69 @@ def start(
 ) -> StreamingQuery:
     """Consume as `group`, whose checkpoint holds its offsets: a new group replays from the beginning.
 
-    `bounded` stops when all that is there has been read; else stop() the query after processAllAvailable().
+    `bounded` stops when all that is there has been read; else stop_gracefully() or run_until_signal().
     """
-    writer = messages.writeStream.foreachBatch(sink(root, group, fail)).option("checkpointLocation", f"{root}/_checkpoints/{group}")
-    return (writer.trigger(availableNow=True) if bounded else writer.trigger(processingTime=interval)).start()
+    counts = Counts()
+    writer = messages.writeStream.foreachBatch(sink(root, group, fail, counts)).option("checkpointLocation", f"{root}/_checkpoints/{group}")
+    query = (writer.trigger(availableNow=True) if bounded else writer.trigger(processingTime=interval)).start()
+    _COUNTS[str(query.runId)] = counts
+    return query
 
 
 def stats(query: StreamingQuery) -> dict[str, int]:
-    """Rows read and batches committed so far, by the query's progress reports."""
-    reports = query.recentProgress
-    return {"consumed": sum(p["numInputRows"] for p in reports), "commits": len(reports)}
+    """Rows read and batches written by the query since it started, however long ago."""
+    return _COUNTS[str(query.runId)].total()
+
+
+def stop_gracefully(query: StreamingQuery, wait_seconds: float = 60.0) -> None:
+    """Let the batch that is running end and commit, then stop. What comes later stays uncommitted, for the next start."""
+    until = time.monotonic() + wait_seconds
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < until:
+        time.sleep(0.05)
+    query.stop()
 
 
-def lag(query: StreamingQuery) -> list[dict]:
-    """Of each source, the last committed offsets and the latest known."""
+def run_until_signal(query: StreamingQuery, poll_seconds: float = 0.5) -> None:
+    """Wait for the query's end, or for SIGINT or SIGTERM, on which it stops after its batch has been written and committed."""
+    asked = threading.Event()
+    before = {s: signal.signal(s, lambda *_: asked.set()) for s in (signal.SIGINT, signal.SIGTERM)}
+    try:
+        while not asked.is_set() and not query.awaitTermination(poll_seconds):
+            pass
+        if asked.is_set():
+            stop_gracefully(query)
+    finally:
+        for s, handler in before.items():
+            signal.signal(s, handler)
+
+
+def _offsets(text) -> dict[str, dict[str, int]]:
+    """{topic: {partition: offset}} of a progress report's offsets, which are JSON text; of a source without topics, nothing."""
+    try:
+        found = json.loads(text) if isinstance(text, str) else text or {}
+    except ValueError:
+        found = {}
+    return {t: {str(p): int(n) for p, n in parts.items()} for t, parts in found.items() if isinstance(parts, dict)}
+
+
+def kafka_lag(source: dict) -> dict[str, dict[str, int]]:
+    """{topic: {partition: messages that are there and not committed}} of one source of a progress report."""
+    done, there = _offsets(source.get("endOffset")), _offsets(source.get("latestOffset"))
+    return {t: {p: max(0, n - done.get(t, {}).get(p, 0)) for p, n in parts.items()} for t, parts in there.items()}
+
+
+def lag(query: StreamingQuery) -> list[dict[str, dict[str, int]]]:
+    """Of each Kafka source, high watermark less committed offset by topic and partition, as of the last report."""
     last = query.lastProgress
-    return [{"end": s.get("endOffset"), "latest": s.get("latestOffset")} for s in last["sources"]] if last else []
+    return [kafka_lag(s) for s in last["sources"]] if last else []
+
+
+def file_topic_lag(spark: SparkSession, path: str, root: str) -> DataFrame:
+    """partition, end, committed, lag of a file topic: its messages against those landed in bronze or quarantine."""
+    from millrace.sources.lake import read_bronze, read_quarantine
+
+    topic = spark.read.schema(MESSAGE).parquet(path).groupBy("partition").agg((F.max("offset") + 1).alias("end"))
+    landed = [f(spark, root).select("kafka_partition", "kafka_offset") for f in (read_bronze, read_quarantine)]
+    done = landed[0].union(landed[1]).groupBy(F.col("kafka_partition").alias("partition")).agg((F.max("kafka_offset") + 1).alias("committed"))
+    both = topic.join(done, "partition", "left").withColumn("committed", F.coalesce("committed", F.lit(0)))
+    return both.select("partition", "end", "committed", F.greatest(F.col("end") - F.col("committed"), F.lit(0)).alias("lag"))

@@ -55,7 +55,10 @@ def run_to_table(frame: DataFrame, name: str, checkpoint: str, mode: str = "upda
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A folder of its own under the one that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or tempfile.mkdtemp(prefix="millrace-")
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
