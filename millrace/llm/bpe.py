@@ -188,7 +188,7 @@ def piece_ids(replay: MergeReplay, cache: dict[str, bytes], pieces: list[list[st
     cache.update(zip(new, replay.encode([p.encode() for p in new]), strict=True))
 
 
-def blocks(sizes: list[int], most: int = 5_000_000) -> Iterator[tuple[int, int]]:
+def blocks(sizes: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes add up to about `most`, one row at least."""
     begin, total = 0, 0
     for i, size in enumerate(sizes):
@@ -214,9 +214,11 @@ def encode_documents(
         replay, find, cache = MergeReplay(ranks.value), regex.compile(pattern).findall, {}
         decoder = Decoder(replay.by_id)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for begin, end in blocks([len(t or "") for t in texts]):
-                pieces = [find(t) if t else [] for t in texts[begin:end]]
+            import pyarrow.compute as pc
+
+            sizes = pc.binary_length(batch.column("text")).fill_null(0).to_pylist()
+            for begin, end in blocks(sizes):
+                pieces = [find(t) if t else [] for t in batch.column("text").slice(begin, end - begin).to_pylist()]
                 piece_ids(replay, cache, pieces)
                 coded = [b"".join([cache[p] for p in doc]) for doc in pieces]
                 columns = [batch.column("doc_id").slice(begin, end - begin), pa.array([len(c) // 4 for c in coded], pa.int64())]

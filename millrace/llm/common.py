@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,10 +36,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Python tasks of what is evaluated inside get batches of `rows` rows: whole texts are long, and both sides hold a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Evaluate once into the shared checkpoint folder: cuts lineage and survives lost executors."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:
@@ -46,13 +60,15 @@ def release(spark: SparkSession) -> None:
     collected what referred to them, which may otherwise be long after."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim()
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Like cut(), as Parquet: compressed and prunable by column, for the larger intermediates."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,7 +81,8 @@ class Scratch:
 
     def stored(self, df: DataFrame) -> DataFrame:
         path = f"{self.at}/{len(self.paths)}"
-        df.write.option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = out, path
         return out
@@ -97,6 +114,19 @@ def packed(df: DataFrame, *columns: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *columns)
 
 
+def trim() -> None:
+    """Hand memory that this process has freed back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not on every system
+    if free:
+        free(0)
+
+
 def lean(run):
     """run, a function of Arrow batches, that hands the memory of its task back when it is done.
 
@@ -107,16 +137,7 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-
-            import pyarrow as pa
-
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not on every system
-            if trim:
-                trim(0)
+            trim()
 
     return task
 

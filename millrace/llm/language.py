@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Shipped, held_out, lean, sample_ids, table, texts_of
+from millrace.llm.common import Shipped, held_out, lean, sample_ids, table, texts_of, trim
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 16, 4, 0.5
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
@@ -124,7 +124,10 @@ def fit(documents: DataFrame) -> LanguageModel:
     rows = sorted(set((r.doc_id, r.text, r.lang) for r in found))
     rows = [(text, lang) for _, text, lang in rows if any(c.isalpha() for c in text)]
     model = LanguageModel(sorted({lang for _, lang in rows}))
-    return model.fit(rows) if rows else model
+    model = model.fit(rows) if rows else model
+    del found, rows
+    trim()
+    return model
 
 
 def identify(documents: DataFrame, model: LanguageModel, new_names: tuple[str, ...] = NAMES) -> DataFrame:
@@ -137,11 +140,13 @@ def identify(documents: DataFrame, model: LanguageModel, new_names: tuple[str, .
 
         predict = shared.get().predict
         for batch in batches:
-            found = [predict(t) for t in batch.column(names.index("text")).to_pylist()]
-            new = [
-                pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)
+            for at in range(0, batch.num_rows, 500):  # whole texts are long: a few at a time
+                rows = batch.slice(at, 500)
+                found = [predict(t.as_py()) for t in rows.column(names.index("text"))]
+                new = [
+                    pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))
+                ]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *new], names=names)
 
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 

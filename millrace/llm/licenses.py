@@ -290,7 +290,7 @@ def scan_documents(documents: DataFrame, model: LicenceModel) -> DataFrame:
         kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string())
         scan = shared.get().scan
         for batch in batches:
-            found = [scan(t) for t in batch.column("text").to_pylist()]
+            found = [scan(t.as_py()) for t in batch.column("text")]
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=names)
 

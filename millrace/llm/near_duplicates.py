@@ -362,7 +362,9 @@ class Verifier:
                 )
 
         texts = self.documents.join(small_or_not(picked, n, BROADCAST_IDS), "doc_id").select("key", "text")
-        return texts.mapInArrow(lean(run), "key long, members array<bigint>").dropDuplicates(["key"])
+        found = cut(texts.mapInArrow(lean(run), "key long, members array<bigint>"))
+        # only repeated rows of an id give a set twice; else there is nothing to shuffle
+        return found if found.count() <= n else found.dropDuplicates(["key"])
 
 
 def component_of(df: DataFrame, components: DataFrame, column: str) -> DataFrame:
@@ -415,9 +417,9 @@ def class_links(documents: DataFrame, classes: DataFrame, shingle_total: int) ->
     verify = Verifier(documents, classes)
     depends = cut(dependent_classes(stars, local))
     scratch = Scratch(spark, "dependent")
-    dependent = scratch.stored(verify.sets(depends).select(F.col("key").alias("id"), F.col("members").alias("t")))
+    dependent = verify.sets(depends).select(F.col("key").alias("id"), F.col("members").alias("t"))
     crowded = cut(rare_prefix_stars(dependent, scratch))
-    scratch.drop(dependent)
+    del dependent
     pairs = cut(stars.where(F.col("kind") == COLD).select("a", "b").union(crowded).distinct())
     release(spark)
 

@@ -155,7 +155,7 @@ def score_texts(documents: DataFrame, model, name: str = "score") -> DataFrame:
 
         scorer = shared.get()
         for batch in batches:
-            scores = pa.array([scorer.score(t) for t in batch.column("text").to_pylist()], pa.float64())
+            scores = pa.array([scorer.score(t.as_py()) for t in batch.column("text")], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], names=["doc_id", name])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
