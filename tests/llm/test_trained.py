@@ -117,6 +117,34 @@ def test_quality():
     assert quality_classifier.QualityModel().score("x") == 0.5
 
 
+def test_context_covers_every_text_whole(spark, monkeypatch):
+    qc = quality_classifier
+    rnd = random.Random(9)
+    texts = [prose(rnd, EN + DE, rnd.choice([0, 1, 2, 3, 40, 400])) for _ in range(60)] + [None, "", " ", "One", "a-1 B!! a-1"]
+    dims, signs = qc.index_vectors()
+    want = np.zeros((qc.WORDS + qc.SHAPES, qc.DIM), dtype=np.int64)
+    for text in texts:
+        words = (text or "").split()
+        at = [(qc._hashed(w, qc.WORDS), qc.WORDS + qc._hashed(qc.shape(w), qc.SHAPES)) for w in words]
+        for i in range(len(at)):
+            for j in range(max(0, i - qc.RADIUS), min(len(at), i + qc.RADIUS + 1)):
+                if i != j:
+                    for place in at[i]:
+                        want[place, dims[at[j][0]]] += signs[at[j][0]]
+    monkeypatch.setattr(qc, "BLOCK_WORDS", 150)
+    assert (qc.context_sums(texts) == want).all() and want.any()
+    monkeypatch.setattr(qc, "FAN_IN", 2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, 7):
+        assert (qc.corpus_context(df.repartition(parts)) == want).all()
+    assert not qc.corpus_context(df.limit(0)).any()
+
+
+def test_a_long_word_counts_whole():
+    assert quality_classifier.shape("ab" * 30 + "1") != quality_classifier.shape("ab" * 30)
+    assert quality_classifier.shape("-a" * 30) != quality_classifier.shape("-a" * 31)
+
+
 def test_score_queries_over_awkward_rows(spark):
     rows = [(1, "a b"), (None, None), (2, ""), (2, ""), (3, "a " * 300_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as score")
