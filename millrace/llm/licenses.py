@@ -1,25 +1,31 @@
 """Licence scan: a trained paragraph classifier confirmed by template comparison.
 
 Every line of a document is a paragraph. Its features are the word 1- to 3-grams that occur in the
-templates (any other n-gram has weight zero), and a multinomial logistic regression over them
-gives the probability of each licence family and of `none`. It is trained in numpy on altered
-copies of the templates and on paragraphs of a bounded sample of documents (SAMPLE_ROWS of at most
-SAMPLE_CHARS characters) as `none`. A paragraph that is likelier a licence than not counts as its family only if the
-family's calibrated probability reaches a threshold and a template's word pairs are contained in it to
-CONFIRM or more; otherwise it is `unknown`.
+notices (any other n-gram has weight zero), and a multinomial logistic regression over them
+gives the probability of each licence family, of `unknown` (a licence of another family) and of `none`. It is trained in
+numpy on altered copies of the families' templates, of notices of other licences as `unknown`, and on SAMPLE_LINES paragraphs, chosen
+by a hash, of a bounded sample of documents (SAMPLE_ROWS of at most SAMPLE_CHARS characters) as `none`. Every HELD-th
+of the other notices is kept from the training: on its copies, and on copies of templates that were kept back, the
+temperature and the threshold are calibrated, so that a licence that the model has never seen is
+not taken for one that it knows (one that is a single unknown word away from a known notice still may be). A paragraph that is likelier a licence than not counts as its family only if the family's
+probability reaches the threshold and is over that of `unknown`, and a template's word pairs are contained in it to CONFIRM
+or more; otherwise it is `unknown`.
 
 Notices are often wrapped. So within a block of consecutive lines that have words, every run of words that
 goes over a line's end, holds CONFIRM of a template's word pairs and is at most STRETCH times as long as the
 template is classified and confirmed like a paragraph, however the block is wrapped and however long it is.
 The lines of a confirmed run are licence paragraphs of its family.
 
-Defined cases: null and empty texts have no paragraphs and the family `none`; an empty table gives no
-rows; repeated rows get equal results.
+Defined cases: null and empty texts have no paragraphs and the family `none`; a null id is returned as such and
+teaches nothing; an empty table gives no rows; texts of any length are read whole; repeated rows get equal results, and a
+repeated id teaches by one of its rows; of families that tie the first by name's order in TEMPLATES counts; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -78,8 +84,38 @@ TEMPLATES = {
     ],
 }
 
-SAMPLE_ROWS, SAMPLE_CHARS, COPIES, EPOCHS, RATE, DECAY = 400, 5000, 60, 60, 0.5, 1e-3
-CONFIRM, FALSE_ALARM, STRETCH = 0.8, 0.02, 2
+#: Notices of licences that are no family here. They teach what a licence looks like that is not known.
+OTHERS = [
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "You should have received a copy of the GNU Lesser General Public License along with this library.",
+    "You should have received a copy of the GNU Affero General Public License along with this program.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License, version 3.",
+    "SPDX-License-Identifier: LGPL-2.1-or-later",
+    "SPDX-License-Identifier: AGPL-3.0-only",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "SPDX-License-Identifier: EPL-2.0",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "SPDX-License-Identifier: ISC",
+    "This software is provided 'as-is', without any express or implied warranty.",
+    "SPDX-License-Identifier: Zlib",
+    "This is free and unencumbered software released into the public domain.",
+    "SPDX-License-Identifier: Unlicense",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "SPDX-License-Identifier: BSL-1.0",
+    "The contents of this file are subject to the terms of the Common Development and Distribution License.",
+    "SPDX-License-Identifier: CDDL-1.0",
+    "Licensed under the European Union Public Licence, version 1.2 or later.",
+    "SPDX-License-Identifier: EUPL-1.2",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "Licensed under CC BY-ND 4.0.",
+    "You may use this file only under the terms of the commercial licence agreement with the vendor.",
+    "Use of this software is subject to the licence terms of its owner; redistribution is not permitted.",
+]
+
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_LINES = 400, 5000, 2000
+COPIES, EPOCHS, RATE, DECAY = 60, 60, 0.5, 1e-3
+#: Every HELD-th copy and every HELD-th other notice is for calibration.
+CONFIRM, STRETCH, HELD = 0.8, 2, 5
 NONE, UNKNOWN = "none", "unknown"
 
 _WORDS = re.compile(r"[^\W_]+(?:\.\d+)*").findall
@@ -94,12 +130,14 @@ class LicenceModel:
 
     def __init__(self, templates: dict[str, list[str]] | None = None):
         templates = templates or TEMPLATES
-        self.families = [*templates, NONE]
+        self.families = [*templates, UNKNOWN, NONE]
         texts = [(f, words_of(t)) for f, ts in templates.items() for t in ts]
-        self.word = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
+        self.others = [words_of(t) for t in OTHERS]
+        taught = [ws for i, ws in enumerate(self.others) if i % HELD]
+        self.word = {w: i + 1 for i, w in enumerate(sorted({w for ws in [*(t for _, t in texts), *taught] for w in ws}))}
         self.V = len(self.word) + 1
         grams = set()
-        for _, ws in texts:
+        for ws in [*(t for _, t in texts), *taught]:
             ids = self.ids(ws)
             for n in (1, 2, 3):
                 grams.update(self.coded(ids, n)[0].tolist())
@@ -139,23 +177,29 @@ class LicenceModel:
 
     def fit(self, negatives: list[str], seed: int = 2) -> LicenceModel:
         rng = np.random.default_rng(seed)
-        filler = [w for t in negatives[:200] for w in words_of(t)][:20_000] or ["x"]
-        rows, y = [], []
-        for family, ws in self.templates:
+        filler = [w for t in negatives for w in words_of(t)] or ["x"]
+        unknown, none = len(self.families) - 2, len(self.families) - 1
+        rows, y, held = [], [], []
+        notices = [(self.families.index(f), ws, False) for f, ws in self.templates]
+        notices += [(unknown, ws, i % HELD == 0) for i, ws in enumerate(self.others)]
+        for family, ws, kept_back in notices:
             for c in range(COPIES):
                 copy = [w for w in ws if c == 0 or rng.random() > 0.1] or ws
+                if family == unknown and self.contained(copy)[1] == 1:
+                    continue  # what made it another licence has been left out
                 pad = [filler[i] for i in rng.integers(0, len(filler), int(rng.integers(0, 8)) if c else 0)]
                 rows.append(copy + pad if rng.random() < 0.5 else pad + copy)
-                y.append(self.families.index(family))
-        for t in negatives:
+                y.append(family)
+                held.append(kept_back or (family != unknown and c % HELD == HELD - 1))
+        for i, t in enumerate(negatives):
             ws = words_of(t)
             if self.contained(ws)[1] < 0.5:
                 rows.append(ws)
-                y.append(len(self.families) - 1)
-        y = np.array(y)
+                y.append(none)
+                held.append(i % HELD == HELD - 1)
+        y, held = np.array(y), np.array(held)
         X = [np.unique(self.features(self.ids(r))[0]) for r in rows]
-        order = rng.permutation(len(rows))
-        held, train = order[: len(rows) // 5], order[len(rows) // 5 :]
+        train, held = np.flatnonzero(~held), np.flatnonzero(held)
         for epoch in range(EPOCHS):
             rate = RATE * (1 - epoch / EPOCHS)
             for i in rng.permutation(train).tolist():
@@ -168,8 +212,20 @@ class LicenceModel:
         loss = [-np.log(self.probabilities(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in grid]
         self.temperature = float(grid[int(np.argmin(loss))])
         p = self.probabilities(z / self.temperature)
-        sure = p[np.arange(len(held)), y[held]][(y[held] < len(self.families) - 1) & (p.argmax(axis=1) == y[held])]
-        self.threshold = float(np.quantile(sure, FALSE_ALARM)) if len(sure) else 0.5
+        best, sure = p[:, :unknown].argmax(axis=1), p[:, :unknown].max(axis=1)
+        # what the template comparison or `unknown` settles is settled at any threshold
+        open_to = np.array([self.confirmed(rows[i], f) >= CONFIRM for i, f in zip(held, best, strict=True)]) & (sure > p[:, unknown])
+        known_held = open_to & (y[held] < unknown) & (best == y[held])
+        sure = np.where(open_to, sure, 0)
+        known = sure[known_held]
+        strange = sure[y[held] == unknown]
+        # the least sum of the share of known notices that are missed and of strange ones that are taken for known ones
+        at = np.linspace(0.05, 0.95, 91)
+        wrong = [(known < t).mean() + (strange >= t).mean() if len(known) and len(strange) else 0.0 for t in at]
+        self.threshold = float(at[int(np.argmin(wrong))])
+        # a template as it stands is always known
+        own = [(f, *self.judged(self.ids(ws))) for f, ws in self.templates]
+        self.threshold = min([self.threshold, *(p - 1e-9 for f, best, p, other, _ in own if self.families[best] == f and p > other)])
         return self
 
     @staticmethod
@@ -247,17 +303,18 @@ class LicenceModel:
         block = np.cumsum(wordless)[~wordless][line]
         plain = np.delete(ids, ends - 1)
         for start, end in self.runs(plain, line, block):
-            family, prob, none = self.judged(plain[start:end])
+            family, prob, other, none = self.judged(plain[start:end])
             words = [w for ws in lines[line[start] : line[end - 1] + 1] for w in ws]
             words = words[start - int(np.searchsorted(line, line[start])) :][: end - start]
-            if none < 0.5 and prob >= self.threshold and self.confirmed(words, family) >= CONFIRM:
+            if none < 0.5 and prob >= self.threshold and prob > other and self.confirmed(words, family) >= CONFIRM:
                 families.add(self.families[family])
                 found.update(range(line[start], line[end - 1] + 1))
                 best = max(best, (self.families[family], prob), key=lambda x: x[1])
         for i in np.flatnonzero(p[:, -1] < 0.5).tolist():
-            family = int(p[i, :-1].argmax())
+            family = int(p[i, :-2].argmax())
             prob = float(p[i, family])
-            sure = prob >= self.threshold and self.confirmed(lines[i], family) >= CONFIRM
+            sure = prob >= self.threshold and prob > p[i, -2] and self.confirmed(lines[i], family) >= CONFIRM
+            prob = prob if sure else float(p[i, -2])
             if not sure and i in found:
                 continue  # part of a notice
             found.add(i)
@@ -267,17 +324,18 @@ class LicenceModel:
                 best = (name, prob)
         return best[0], best[1], len(lines), len(found), ",".join(sorted(families))
 
-    def judged(self, ids: np.ndarray) -> tuple[int, float, float]:
-        """The likeliest family of words, its probability and that of none."""
+    def judged(self, ids: np.ndarray) -> tuple[int, float, float, float]:
+        """The likeliest family of words, its probability, that of unknown and that of none."""
         z = self.weights[np.unique(self.features(ids)[0])].sum(axis=0)
         p = self.probabilities((z + self.bias) / self.temperature)
-        return int(p[:-1].argmax()), float(p[:-1].max()), float(p[-1])
+        return int(p[:-2].argmax()), float(p[:-2].max()), float(p[-2]), float(p[-1])
 
 
 def fit(documents: DataFrame) -> LicenceModel:
     ids = sample_ids(documents.select("doc_id").where(F.col("doc_id").isNotNull()), SAMPLE_ROWS)
-    rows = sorted((r.doc_id, r.text) for r in texts_of(documents, ids, SAMPLE_CHARS))
-    return LicenceModel().fit([line for _, text in rows for line in text.split("\n")][: 5 * SAMPLE_ROWS])
+    rows = texts_of(documents, ids, SAMPLE_CHARS)
+    lines = {(zlib.crc32(line.encode("utf-8", "replace")), line) for r in rows for line in r.text.split("\n") if line.strip()}
+    return LicenceModel().fit([line for _, line in sorted(lines)[:SAMPLE_LINES]])
 
 
 def scan_documents(documents: DataFrame, model: LicenceModel) -> DataFrame:
