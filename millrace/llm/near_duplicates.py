@@ -52,10 +52,12 @@ PIVOTS = (32,)
 MEASURED = ["a", "b", "n_a", "n_b", "differ", "linked"]
 #: Ids that may be broadcast to pick documents out of the scan; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
+#: Pairs of classes, and classes, that may be broadcast; more are joined by a shuffle.
+BROADCAST_PAIRS = 400_000
 #: Bytes of signatures that one task of the shuffle should read.
-TASK_BYTES = 6_000_000
+TASK_BYTES = 8_000_000
 #: Characters of text whose sets a task holds at once.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_500_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -265,21 +267,24 @@ def bucket_stars(rows: DataFrame) -> DataFrame:
                 names=["kind", "a", "b", "c"],
             )
 
-        keys, sigs, weights = [], [], []
+        cold, n = [], 0
         for batch in batches:
-            for kind, a, b, c in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3, 4)], strict=True):
+            for kind, *places in zip(batch.column(1).to_pylist(), *(batch.column(i) for i in (2, 3, 4)), strict=True):
+                # views of the batch's own bytes: nothing is copied before all is known
+                a, b, c = (np.frombuffer(x.as_buffer(), dtype=np.int64) for x in places)
                 if kind == COLD:
-                    keys.append(np.frombuffer(a, dtype=np.int64))
-                    sigs.append(np.frombuffer(b, dtype=np.int64))
-                    weights.append(np.frombuffer(c, dtype=np.int64).astype(np.int32))
-                else:
-                    yield out(kind, *[np.frombuffer(x, dtype=np.int64) for x in (a, b, c)])
-        if not keys:
+                    cold.append((a, b, c))
+                    n += len(a)
+                elif len(a):
+                    yield out(kind, a, b, c)
+        if not n:
             return
-        key, sig, weight = np.concatenate(keys), np.concatenate(sigs), np.concatenate(weights)
-        del keys, sigs, weights
+        sig = np.concatenate([b for _, b, _ in cold])
         order = np.argsort(sig, kind="stable")
         sig = sig[order]
+        key = np.concatenate([a for a, _, _ in cold])
+        weight = np.concatenate([c.astype(np.int32) for _, _, c in cold])
+        del cold, batch
         equal = sig[1:] == sig[:-1]
         many = np.flatnonzero(np.append(equal, False) | np.append(False, equal) | (weight[order] > 1))
         if not len(many):
@@ -319,12 +324,15 @@ class Verifier:
         need = cut(near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "key"))
         sets = self.sets(need)
         a, b = (sets.select(F.col("key").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
+        # the pairs go to the sets of b; each then travels once, to the set of its a
+        few = small_or_not(near.select("a", "b", "n_a", "n_b"), near.count(), BROADCAST_PAIRS)
+        heads = cut(near.select("a").distinct())
+        a = a.join(small_or_not(heads, heads.count(), BROADCAST_PAIRS), "a", "left_semi")
         common = F.size(F.array_intersect("set_a", "set_b"))
         differ = F.col("n_a") + F.col("n_b") - 2 * common
         # the sets stay columns here: two of them a row would make large batches for Python
         exact = (
-            near.select("a", "b", "n_a", "n_b")
-            .join(b, "b")
+            b.join(few, "b")
             .join(a, "a")
             .select("a", "b", "n_a", "n_b", differ.alias("differ"))
             .withColumn("linked", OF_SUM * F.col("differ") <= LEAST_SUM * (F.col("n_a") + F.col("n_b")))
