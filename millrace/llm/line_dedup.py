@@ -281,7 +281,8 @@ def removals(documents: DataFrame) -> DataFrame:
     rows = scratch.stored(prefix_rows(without_places(docs, small_or_not(copies, copies.count(), BROADCAST_ROWS))))
     live = scratch.stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("token"))
     scratch.release()
-    keys = cut(rows.join(few_or_hashed(live), "token", "left_semi").select("key").distinct())
+    # live tokens grow with the corpus: hashed by partition at every size
+    keys = cut(rows.join(live.hint("shuffle_hash"), "token", "left_semi").select("key").distinct())
     sets = line_sets(docs, firsts.join(few_or_hashed(keys), "key", "left_semi").select(*PLACE))
     sets = once(scratch.stored(sets), scratch)
     scratch.drop(rows, live, firsts)
