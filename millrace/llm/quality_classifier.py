@@ -34,7 +34,6 @@ CACHE_WORDS, BLOCK_WORDS = 300_000, 1_000_000
 #: Places of a block of sums as it travels, and tasks whose sums one task adds up.
 BLOCK_PLACES, FAN_IN = 256, 16
 
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 _RUN = re.compile(r"(.)\1+")
 
 
@@ -43,22 +42,28 @@ def shape(word: str) -> str:
     return _RUN.sub(r"\1", "".join(kinds))
 
 
-def _hashed(text: str, places: int) -> int:
-    return zlib.crc32(text.encode("utf-8", "replace")) % places
+def words_of(text: str | None) -> list[bytes]:
+    """Words as UTF-8, divided by spaces and the code points 9 to 13."""
+    return text.encode("utf-8", "replace").split() if text else []
+
+
+def place_of(word: bytes) -> int:
+    """The word's place times SHAPES, with its shape's place."""
+    form = shape(word.decode("utf-8", "replace")).encode("utf-8", "replace")
+    return zlib.crc32(word) % WORDS * SHAPES + zlib.crc32(form) % SHAPES
 
 
 class Places:
     """A word's place and its shape's (after all words' places), remembered."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> np.ndarray:
         """Two rows: the words' places, their shapes' places."""
         known = self.known
-        for w in set(words):
-            if w not in known:
-                known[w] = _hashed(w, WORDS) * SHAPES + _hashed(shape(w), SHAPES)
+        for w in set(words).difference(known):
+            known[w] = place_of(w)
         both = np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words))
         if len(known) > CACHE_WORDS:
             known.clear()
@@ -94,7 +99,7 @@ def context_sums(texts) -> np.ndarray:
 
     gap, n = np.full((2, RADIUS), -1, dtype=np.int32), 0  # neighbours are of one text
     for text in texts:
-        words = _WORDS(text or "")
+        words = words_of(text)
         held += [places.of(words), gap]
         n += len(words)
         if n >= BLOCK_WORDS:
@@ -167,7 +172,7 @@ class QualityModel:
         return self.__dict__ | {"places": Places()}
 
     def pooled(self, text: str | None) -> np.ndarray:
-        words = _WORDS(text or "")
+        words = words_of(text)
         n = len(words)
         if not n:
             return np.zeros(3 * DIM + 3)
@@ -177,7 +182,7 @@ class QualityModel:
             place, count = np.unique(at[column], return_counts=True)
             vectors, share = self.vectors[place], count / n
             means += [share @ vectors] + ([share @ vectors**2] if column == 0 else [])
-        same = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
+        same = np.count_nonzero((at[:, 1:] == at[:, :-1]).all(axis=0)) / n
         return np.concatenate([*means, [len(set(words)) / n, same, np.log1p(n)]])
 
     def fit(self, texts: list[str], labels: list[int], seed: int = 5) -> QualityModel:

@@ -125,7 +125,7 @@ def test_context_covers_every_text_whole(spark, monkeypatch):
     want = np.zeros((qc.WORDS + qc.SHAPES, qc.DIM), dtype=np.int64)
     for text in texts:
         words = (text or "").split()
-        at = [(qc._hashed(w, qc.WORDS), qc.WORDS + qc._hashed(qc.shape(w), qc.SHAPES)) for w in words]
+        at = [(crc(w) % qc.WORDS, qc.WORDS + crc(qc.shape(w)) % qc.SHAPES) for w in words]
         for i in range(len(at)):
             for j in range(max(0, i - qc.RADIUS), min(len(at), i + qc.RADIUS + 1)):
                 if i != j:
