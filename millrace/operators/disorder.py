@@ -117,13 +117,28 @@ def drifted(events: DataFrame, d: Disorder) -> DataFrame:
     )
 
 
+def with_slots(events: DataFrame) -> DataFrame:
+    """`slot`: place of each event among its machine's, by publish_time and event_id.
+
+    Counted in two levels, events of an hour and then hours, so that no machine's whole history is in one task.
+    """
+    names = events.columns
+    hourly = events.withColumn("__hour", F.floor(F.unix_seconds("publish_time") / 3600))
+    counts = hourly.groupBy(F.col("machine_id").alias("__machine"), F.col("__hour").alias("__at")).agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("__machine").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("__machine", "__at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    inside = W.partitionBy("machine_id", "__hour").orderBy("publish_time", "event_id")
+    placed = hourly.withColumn("__place", F.row_number().over(inside) - 1)
+    joined = placed.join(starts, (F.col("machine_id") == F.col("__machine")) & (F.col("__hour") == F.col("__at")))
+    return joined.select(*names, (F.col("__start") + F.col("__place")).alias("slot"))
+
+
 def reordered(events: DataFrame, d: Disorder, seed: int) -> DataFrame:
     """`slot`: position on the topic within a machine; a chosen event swaps places with one up to max_shift before it.
 
     Swaps happen inside blocks of max_shift + 1 slots, so that they are independent of each other.
     """
-    order = W.partitionBy("machine_id").orderBy("publish_time", "event_id")
-    slots = events.withColumn("slot", F.row_number().over(order) - 1)
+    slots = with_slots(events)
     if not d.out_of_order_rate or not d.out_of_order_max_shift:
         return slots.withColumn("is_reordered", F.lit(False))
     size = d.out_of_order_max_shift + 1

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.cli import main
-from millrace.operators.disorder import at_places, drifted
+from millrace.operators.disorder import at_places, drifted, with_slots
 from millrace.plans import generate, ledger, models
 from millrace.sources import lake
 from millrace.sources.plant import DEFAULT, Disorder, Scenario
@@ -113,6 +113,15 @@ def test_cutover_is_at_an_index_of_the_event_order(spark, share, third):
     assert [f[2] for f in found] == [order[i][0] for i in (0, 350, 700)]
 
 
+def test_slots_count_each_machine_through(spark):
+    start = datetime(2026, 3, 2, tzinfo=UTC)
+    rows = [(f"e{i:03d}", f"M{i % 3}", start + timedelta(seconds=(i * 7919) % 20_000)) for i in range(400)]
+    got = {r.event_id: r.slot for r in with_slots(spark.createDataFrame(rows, "event_id string, machine_id string, publish_time timestamp")).collect()}
+    for machine in ("M0", "M1", "M2"):
+        order = sorted((r for r in rows if r[1] == machine), key=lambda r: (r[2], r[0]))
+        assert [got[r[0]] for r in order] == list(range(len(order)))
+
+
 def test_injections_are_summed_up_in_both_modes(spark, run, tmp_path):
     out, injected = run
     assert json.loads(spark.read.text(f"{out}/injections").first().value) == injected
