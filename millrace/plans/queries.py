@@ -150,17 +150,18 @@ LEDGER = """, joined AS (
     CASE WHEN missing_from_manifest OR missing_from_gold THEN 'broken'
       WHEN observed_event_count = expected_event_count AND unit_delta = 0 AND defect_delta = 0 AND abs(duration_delta) < 0.01 THEN 'reconciled'
       WHEN date_sub('hour', window_start, TIMESTAMP '2024-01-31 02:00:00') < 8 THEN 'pending' ELSE 'broken' END AS status,
-    CASE WHEN missing_from_manifest THEN 'window present in gold but absent from ground truth — the pipeline invented data'
-      WHEN missing_from_gold THEN 'window present in ground truth but absent from gold — the pipeline lost a window'
-      WHEN observed_event_count <> expected_event_count THEN 'event count differs after accounting for injected corruptions'
-      WHEN unit_delta <> 0 THEN 'unit count differs' WHEN defect_delta <> 0 THEN 'defect count differs'
-      WHEN abs(duration_delta) >= 0.01 THEN 'cycle duration sum differs' END AS root_cause
+    CASE WHEN missing_from_manifest THEN '{INVENTED}'
+      WHEN missing_from_gold THEN '{LOST}'
+      WHEN observed_event_count <> expected_event_count THEN '{EVENTS}'
+      WHEN unit_delta <> 0 THEN '{UNITS}' WHEN defect_delta <> 0 THEN '{DEFECTS}'
+      WHEN abs(duration_delta) >= 0.01 THEN '{DURATION}' END AS root_cause
   FROM joined
 )"""
 
 
 def _ledger_sql(select: str, manifest: str = "manifest", agg: str = "agg", before: str = "") -> str:
-    return EV + before + LEDGER.format(manifest=manifest, agg=agg) + "\n" + select
+    causes = {c: getattr(ledger, c) for c in ("INVENTED", "LOST", "EVENTS", "UNITS", "DEFECTS", "DURATION")}
+    return EV + before + LEDGER.format(manifest=manifest, agg=agg, **causes) + "\n" + select
 
 
 def _ts(*columns: str) -> str:
@@ -293,11 +294,11 @@ landed AS (
 @query(
     "ledger_strict",
     _ledger_sql(
-        """SELECT l.machine_id, strftime(l.window_start, '%Y-%m-%d %H:%M:%S.%f') AS window_start,
+        f"""SELECT l.machine_id, strftime(l.window_start, '%Y-%m-%d %H:%M:%S.%f') AS window_start,
   CASE WHEN missing_from_gold AND expected_event_count = 0 THEN 'reconciled'
     WHEN status = 'reconciled' AND good <> observed THEN (CASE WHEN window_age_hours < 8 THEN 'pending' ELSE 'broken' END) ELSE status END AS status,
   CASE WHEN missing_from_gold AND expected_event_count = 0 THEN NULL
-    WHEN status = 'reconciled' AND good <> observed THEN 'event ids differ although the counts agree' ELSE root_cause END AS root_cause
+    WHEN status = 'reconciled' AND good <> observed THEN '{ledger.CHECKSUM}' ELSE root_cause END AS root_cause
 FROM ledger l LEFT JOIN truth t ON l.machine_id = t.machine_id AND l.window_start = t.window_start
 LEFT JOIN landed d ON l.machine_id = d.machine_id AND l.window_start = d.window_start""",
         before=FORGED,
