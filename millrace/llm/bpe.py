@@ -6,8 +6,9 @@ pair to the positions where it occurs. Ranks are replayed in order: all position
 merged together and only the pairs touching a merged position are ranked anew. A task keeps the
 encoded pieces it has seen, up to a bound on their number, so memory stays bounded.
 
-Defined cases: a null text encodes as the empty text (no tokens); an empty table gives an empty
-result; repeated rows give repeated results; texts of any length are encoded whole.
+Defined cases: a null text encodes as the empty text (no tokens); a null id is returned as such; an empty table gives an empty
+result; repeated rows give repeated results; texts of any length are encoded whole; of equal pairs in a piece the leftmost
+is merged first, as the ranks ask; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

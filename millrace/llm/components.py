@@ -1,8 +1,9 @@
 """Connected components of a graph of any size, as DataFrames.
 
-Up to ONE_TASK links (counted first) are joined in one task, as arrays. Beyond that, it alternates large-star and small-star steps (each a grouped minimum, which combines before its
-shuffle, and an equi-join, which AQE splits at a hub), so that the number of rounds grows with the
-logarithm of a component's diameter. Every round is cut into the checkpoint folder.
+Up to ONE_TASK links (counted first) are joined in one task, as arrays. Beyond that, large-star and small-star steps
+alternate (each a grouped minimum, which combines before its shuffle, and an equi-join, which AQE splits at a
+hub), so that the number of rounds grows with the logarithm of a component's diameter. Every round is cut
+into the checkpoint folder.
 """
 
 from __future__ import annotations

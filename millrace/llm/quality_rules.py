@@ -15,7 +15,9 @@ otherwise splits a host that holds many rows (AQE skew join).
 Windows are compared by a 64-bit hash within one text.
 
 Defined cases: a null or empty text has no words and fails `short`; a null host is a host of its own;
-repeated rows count each time and get equal results; an empty table gives no rows.
+a null id is returned as such; repeated rows count each time and get equal results; an empty table gives no rows; a text of any length
+is measured whole, inside its row; a rate that ties with its limit does not exceed it; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -4,8 +4,10 @@ The histogram has one row per distinct length, so everything after it is indepen
 of documents. Suffix sums run in two levels (blocks of lengths, then lengths within a block), so
 that no single task has to order every distinct length.
 
-Defined cases: a null or empty text has length 0; an empty table gives no rows; repeated rows count
-each time.
+Defined cases: a null or empty text has length 0; ids play no part, null or not; an empty table gives no rows; repeated rows count
+each time; texts of any length are encoded whole; documents of equal length are one row, so there are no ties; other columns
+are ignored, whatever their names. at_limits() orders the distinct lengths in one task: as many rows as the longest text has tokens,
+at most.
 """
 
 from __future__ import annotations
