@@ -211,15 +211,24 @@ def local_links(keys: np.ndarray, sets: list[np.ndarray], sigs: list[np.ndarray]
     return owner[keep], sig[keep], weight[keep], pairs, left_out
 
 
+def owner_number(task: int, block: int) -> int:
+    """Of the first class of a task's block; a block has fewer than 2 ** 24 classes."""
+    return (task << 38) + (block << 24)
+
+
 def block_links(documents: DataFrame, parts: int) -> DataFrame:
-    """Rows (part, kind, a, b, c) of packed 64-bit integers: COLD has classes, their signatures of that part and how many
-    each stands for, KNOWN links found within a block and their differences, SLACK classes and their slack."""
+    """Rows (part, kind, a, b, c) of packed integers: COLD has owners (the block's number, then each class's place in it), their
+    signatures of that part and how many classes each stands for, KNOWN links found within a block and their differences,
+    SLACK classes, their slack and their owner numbers."""
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         seen: set[int] = set()
-        for _, _, _, sets in _sets(batches):
+        task = TaskContext.get().partitionId()  # the same if the task is run again
+        for block, (_, _, _, sets) in enumerate(_sets(batches)):
+            first = owner_number(task, block)
             new = {}
             for s in sets:
                 if len(s) and (key := set_key(s)) not in seen:
@@ -235,14 +244,14 @@ def block_links(documents: DataFrame, parts: int) -> DataFrame:
             del signed
             part = (sig % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part * len(keys) + owner, kind="stable")
-            owner, sig, weight, part = keys[owner[order]], sig[order], weight[order], part[order]
+            owner, sig, weight, part = owner[order].astype(np.int32), sig[order], weight[order], part[order]
             edge = np.append(0, np.flatnonzero(np.diff(part)) + 1)
             rows = [
-                (int(p), COLD, o.tobytes(), x.tobytes(), w.tobytes())
+                (int(p), COLD, np.int64(first).tobytes() + o.tobytes(), x.tobytes(), w.tobytes())
                 for p, o, x, w in zip(part[edge], *(np.split(v, edge[1:]) for v in (owner, sig, weight)), strict=True)
             ]
             own = int(keys[0]) % parts
-            rows.append((own, SLACK, keys.tobytes(), slack.tobytes(), bytes(8 * len(keys))))
+            rows.append((own, SLACK, keys.tobytes(), slack.tobytes(), (first + np.arange(len(keys))).tobytes()))
             if len(pairs):
                 rows.append((own, KNOWN, keys[pairs[:, 0]].tobytes(), keys[pairs[:, 1]].tobytes(), pairs[:, 2].tobytes()))
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -254,8 +263,8 @@ def block_links(documents: DataFrame, parts: int) -> DataFrame:
 
 
 def bucket_stars(rows: DataFrame) -> DataFrame:
-    """Rows (kind, a, b, c): COLD two classes of a bucket of at most HOT; KNOWN a verified link and its
-    difference; CROWDED a signature and a class of a bucket over HOT; SLACK a class and its slack."""
+    """Rows (kind, a, b, c): COLD two owners of a bucket of at most HOT; KNOWN a verified link of classes and its
+    difference; CROWDED a signature and an owner of a bucket over HOT; SLACK a class, its slack and its owner number."""
 
     def run(batches):
         import pyarrow as pa
@@ -271,19 +280,20 @@ def bucket_stars(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for kind, *places in zip(batch.column(1).to_pylist(), *(batch.column(i) for i in (2, 3, 4)), strict=True):
                 # views of the batch's own bytes: nothing is copied before all is known
-                a, b, c = (np.frombuffer(x.as_buffer(), dtype=np.int64) for x in places)
+                owners, *places = (x.as_buffer() for x in places)
+                b, c = (np.frombuffer(x, dtype=np.int64) for x in places)
                 if kind == COLD:
-                    cold.append((a, b, c))
-                    n += len(a)
-                elif len(a):
-                    yield out(kind, a, b, c)
+                    cold.append((int(np.frombuffer(owners, np.int64, 1)[0]), np.frombuffer(owners, np.int32, offset=8), b, c))
+                    n += len(b)
+                elif len(b):
+                    yield out(kind, np.frombuffer(owners, dtype=np.int64), b, c)
         if not n:
             return
-        sig = np.concatenate([b for _, b, _ in cold])
+        sig = np.concatenate([b for _, _, b, _ in cold])
         order = np.argsort(sig, kind="stable")
         sig = sig[order]
-        key = np.concatenate([a for a, _, _ in cold])
-        weight = np.concatenate([c.astype(np.int32) for _, _, c in cold])
+        key = np.concatenate([first + at.astype(np.int64) for first, at, _, _ in cold])
+        weight = np.concatenate([c.astype(np.int32) for _, _, _, c in cold])
         del cold, batch
         equal = sig[1:] == sig[:-1]
         many = np.flatnonzero(np.append(equal, False) | np.append(False, equal) | (weight[order] > 1))
@@ -387,12 +397,21 @@ def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return both.where("c_a <> c_b").drop("c_a", "c_b")
 
 
+def cold_pairs(stars: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes, a the lesser, that share a bucket of at most HOT."""
+    named = stars.where(F.col("kind") == SLACK).select(F.col("a").alias("key"), F.col("c").alias("owner"))
+    x, y = (named.select(F.col("key").alias(f"key_{c}"), F.col("owner").alias(c)) for c in "ab")
+    both = stars.where(F.col("kind") == COLD).select("a", "b").distinct().join(x, "a").join(y, "b")
+    pairs = both.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+    return pairs.where("a <> b").distinct()
+
+
 def dependent_classes(stars: DataFrame, local: DataFrame) -> DataFrame:
     """key: classes that sign in more crowded buckets than their slack, and those that stand for one that does."""
-    crowded = stars.where(F.col("kind") == CROWDED).select(F.col("b").alias("key"))
-    used = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("used"))
-    slack = stars.where(F.col("kind") == SLACK).groupBy(F.col("a").alias("key")).agg(F.min("b").alias("slack"))
-    depends = slack.join(used, "key", "left").where(F.coalesce("used", F.lit(0)) > F.col("slack")).select("key")
+    crowded = stars.where(F.col("kind") == CROWDED).select(F.col("b").alias("owner"))
+    used = crowded.groupBy("owner").agg(F.count(F.lit(1)).alias("used"))
+    slack = stars.where(F.col("kind") == SLACK).select(F.col("a").alias("key"), F.col("b").alias("slack"), F.col("c").alias("owner"))
+    depends = slack.join(used, "owner", "left").where(F.coalesce("used", F.lit(0)) > F.col("slack")).select("key").distinct()
     behind = local.join(depends.withColumnRenamed("key", "b"), "b", "left_semi").select(F.col("a").alias("key"))
     return depends.union(behind).distinct()
 
@@ -416,7 +435,10 @@ def class_links(documents: DataFrame, classes: DataFrame, shingle_total: int) ->
     spark = documents.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     parts = max(tasks, -(-shingle_total * 16 // TASK_BYTES))
-    rows = block_links(documents, parts).repartition(parts, "part")
+    # a class signs once, by its first document
+    firsts = small_or_not(classes.select(F.col("doc").alias("doc_id")), classes.count(), BROADCAST_IDS)
+    signing = documents.join(firsts, "doc_id", "left_semi")
+    rows = block_links(signing, parts).repartition(parts, "part")
     stars = stored(bucket_stars(rows), "stars")
     del rows
     release(spark)  # the shuffled signatures are the largest thing here
@@ -428,7 +450,7 @@ def class_links(documents: DataFrame, classes: DataFrame, shingle_total: int) ->
     dependent = verify.sets(depends).select(F.col("key").alias("id"), F.col("members").alias("t"))
     crowded = cut(rare_prefix_stars(dependent, scratch))
     del dependent
-    pairs = cut(stars.where(F.col("kind") == COLD).select("a", "b").union(crowded).distinct())
+    pairs = cut(cold_pairs(stars).union(crowded).distinct())
     release(spark)
 
     def grown(links: DataFrame, measured: DataFrame) -> tuple[DataFrame, DataFrame]:
