@@ -43,7 +43,7 @@ CLASSES = 4
 #: Lines of a token beyond which they meet through their first one.
 HOT = 8
 #: Rows of a few numbers that may be broadcast; more are shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 
 PLACE = ("doc_id", "th", "at")
 
