@@ -63,6 +63,16 @@ def release(spark: SparkSession) -> None:
     trim()
 
 
+def rest(spark: SparkSession) -> None:
+    """Between steps: executors collect their garbage, and so hand heap that they no longer use back to the system.
+
+    An executor's heap grows with the rows that a native step makes and stays as large as it ever was, which would be
+    missing beside it in the Python workers of the step after. Tasks fill all cores, so each executor gets one.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("x")).write.format("noop").mode("overwrite").save()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Like cut(), as Parquet: compressed and prunable by column, for the larger intermediates."""
     spark = df.sparkSession
