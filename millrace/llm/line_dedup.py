@@ -6,8 +6,8 @@ hash, then place) has a Jaccard similarity of 0.8 or more with it. The first of
 
 1. Screen. Later copies of a line go first. Any global order of tokens gives prefixes that similar lines share a
    token of; here the order is the hash of a shingle's first two words, so only the shingles of a prefix are ever
-   hashed. A token that occurs twice is live (a count, combined in map tasks), and only lines with a live token can
-   have a partner.
+   hashed. A prefix is SPARE tokens longer than one that shares a token, so that it shares SPARE + 1. A token that occurs
+   twice is live (a count, combined in map tasks), and only lines with so many live tokens can have a partner.
 2. Join. Over these lines every token is counted, one class of tokens after the other: a line goes as soon as more of its
    tokens than a partner may lack are its own alone. The tokens of a line that is left are ordered by rarity: a
    token that only one line has comes first and pairs nothing. Prefix, positional and length filters are in the join itself.
@@ -38,6 +38,8 @@ from millrace.llm.common import Scratch, cut, let, packed, small_or_not, table
 SHINGLE, LEAST, OF = 5, 80, 100
 #: Sets match if they differ in at most the RATIO-th part of their summed sizes.
 RATIO = (OF + LEAST) // (OF - LEAST)
+#: Tokens that a prefix of the screen has beyond those that make it share one; 3 at most.
+SPARE = 2
 #: Classes of tokens, by hash, that are counted one after the other.
 CLASSES = 4
 #: Lines of a token beyond which they meet through their first one.
@@ -76,14 +78,29 @@ def prefix_length(n: Column) -> Column:
     return F.floor(n * (OF - LEAST) / OF).cast("int") + 1
 
 
+def marked(key: Column, least: Column | None = None) -> Column:
+    """key with `least`, of 0 to 3, in place of its last two bits."""
+    least = F.lit(0) if least is None else least
+    return key.bitwiseAND(F.lit(-4)).bitwiseOR(least.cast("long"))
+
+
 def prefix_rows(lines: DataFrame) -> DataFrame:
-    """token, key of each line's prefix in the order of the shingles' first two words, ties included."""
+    """token, mark of each line's prefix in the order of the shingles' first two words, ties included. mark: the line's key
+    with the number of live tokens that it needs; a partner lacks a fifth of the line's tokens at most, in a whole line too.
+    """
     rows = hashed(lines.select(F.xxhash64("line").alias("key"), "line"), "key")
     own = F.slice("h", F.lit(1), F.col("n"))
     rows = rows.select("key", "h", "n", F.sort_array(F.array_distinct(own)).alias("order"))
-    last = F.coalesce(F.get("order", prefix_length(F.col("n")) - 1), F.lit((1 << 63) - 1))
-    rows = rows.select("key", "h", last.alias("last"), F.posexplode(own).alias("i", "pair")).where("pair <= last")
-    return rows.select(shingle_hash(F.col("h"), F.col("pair"), F.col("i")).alias("token"), "key")
+    last = F.coalesce(F.get("order", prefix_length(F.col("n")) - 1 + SPARE), F.lit((1 << 63) - 1))
+    mark = marked(F.col("key"), F.least(F.lit(SPARE + 1), F.ceil(F.size("order") * LEAST / OF)))
+    rows = rows.select(mark.alias("mark"), "h", last.alias("last"), F.posexplode(own).alias("i", "pair")).where("pair <= last")
+    return rows.select(shingle_hash(F.col("h"), F.col("pair"), F.col("i")).alias("token"), "mark")
+
+
+def with_enough(live_rows: DataFrame) -> DataFrame:
+    """mark (as marked() gives it for a key alone) of the lines that have enough of live_rows(token, mark)."""
+    counts = live_rows.groupBy("mark").agg(F.count(F.lit(1)).alias("tokens"))
+    return counts.where(F.col("tokens") >= F.col("mark").bitwiseAND(F.lit(3))).select(marked(F.col("mark")).alias("mark")).distinct()
 
 
 def occurrences(documents: DataFrame) -> DataFrame:
@@ -126,9 +143,9 @@ def line_sets(documents: DataFrame, places: DataFrame) -> DataFrame:
     joined = docs.join(wanted, same_document(docs, wanted)).select(docs["doc_id"], docs["th"], "text", "ats")
     lines = joined.select("doc_id", "th", F.explode(let(F.split("text", "\n"), picked)).alias("x")).select("doc_id", "th", "x.*")
     rows = hashed(lines, *PLACE)
-    every = F.array_distinct(
-        F.transform(F.slice("h", F.lit(1), F.col("n")), lambda x, i: shingle_hash(F.col("h"), x, i))
-    )
+    long_line = F.transform(F.slice("h", F.lit(1), F.col("n")), lambda x, i: F.xxhash64(x, F.get("h", i + 2), F.get("h", i + 3)))
+    short_line = F.slice(F.array(F.xxhash64("h")), F.lit(1), F.col("n"))
+    every = F.array_distinct(F.when(F.size("h") < SHINGLE, short_line).otherwise(long_line))
     words = F.xxhash64(F.lit("proof"), F.slice("w", F.lit(1), F.lit(SHINGLE)))
     rows = rows.select(*PLACE, every.alias("t"), words.alias("words"))
     return rows.select(
@@ -282,8 +299,8 @@ def removals(documents: DataFrame) -> DataFrame:
     live = scratch.stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("token"))
     scratch.release()
     # live tokens grow with the corpus: hashed by partition at every size
-    keys = cut(rows.join(live.hint("shuffle_hash"), "token", "left_semi").select("key").distinct())
-    sets = line_sets(docs, firsts.join(few_or_hashed(keys), "key", "left_semi").select(*PLACE))
+    marks = cut(with_enough(rows.join(live.hint("shuffle_hash"), "token", "left_semi")))
+    sets = line_sets(docs, firsts.withColumn("mark", marked(F.col("key"))).join(few_or_hashed(marks), "mark", "left_semi").select(*PLACE))
     sets = once(scratch.stored(sets), scratch)
     scratch.drop(rows, live, firsts)
     scratch.release()
