@@ -24,8 +24,8 @@ def dedup(spark, monkeypatch, lines):
 def test_lines_with_one_common_shingle_stop_at_the_screen(spark, monkeypatch):
     rnd = random.Random(5)
     words = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
-    common = "of all that we have".split()
-    lines = [" ".join(words(20) + common + words(20)) for _ in range(200)]
+    passages = [words(5) for _ in range(20)]  # some come early in the order of the prefixes, some late
+    lines = [" ".join(words(20) + passages[i % 20] + words(20)) for i in range(200)]
     near = lines[7] + " end"
     passed, gone = dedup(spark, monkeypatch, [*lines, near])
     assert gone == {200}
