@@ -12,11 +12,13 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word contracts: space and the code points 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of an intermediate up to which it is read by no more tasks than cores.
+FEW_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,17 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """cut(df), read by no more tasks than cores if it has few rows.
+
+    Rounds over small tables would else start tasks, and leave files, for every partition of every shuffle before them.
+    The rows are counted while they are written.
+    """
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out.coalesce(df.sparkSession.sparkContext.defaultParallelism) if seen.get["n"] <= FEW_ROWS else out
+
+
 def release(spark: SparkSession) -> None:
     """After rounds of cuts: Spark deletes the shuffle files of a finished round once the driver has
     collected what referred to them, which may otherwise be long after."""

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, lean, release
+from millrace.llm.common import cut, gathered, lean, release
 
 
 #: Links of two 64-bit nodes that one task joins, some tens of MB there; more are joined by rounds of shuffles.
@@ -47,7 +47,7 @@ def in_one_task(edges: DataFrame) -> DataFrame:
 
 def connected_components(links: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) of every node of links(a, b); no links, no rows."""
-    edges = cut(
+    edges = gathered(
         links.where("a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()

@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, cut, let, packed, small_or_not, table
+from millrace.llm.common import Scratch, cut, gathered, let, packed, small_or_not, table
 
 SHINGLE, LEAST, OF = 5, 80, 100
 #: Sets match if they differ in at most the RATIO-th part of their summed sizes.
@@ -244,7 +244,7 @@ def shared_tokens(sets: DataFrame, scratch: Scratch) -> DataFrame:
         shared = found[-1].groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
         alone = F.col("alone") + F.coalesce("seen", F.lit(0)) - F.coalesce("shared", F.lit(0))
         left = left.join(seen, "id", "left").join(shared, "id", "left").select("id", "n", alone.alias("alone"))
-        left = cut(left.where(F.col("alone") < prefix_length(F.col("n"))))
+        left = gathered(left.where(F.col("alone") < prefix_length(F.col("n"))))
         del lines, rows, counts, seen, shared
         scratch.release()
     ids = few_or_hashed(left.select("id"))

@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import blocks
-from millrace.llm.common import Scratch, cut, lean, packed, release, small_or_not, stored, table
+from millrace.llm.common import Scratch, cut, gathered, lean, packed, release, small_or_not, stored, table
 from millrace.llm.components import connected_components
 from millrace.llm.line_dedup import prefix_length, shared_tokens
 
@@ -329,14 +329,14 @@ class Verifier:
     def measure(self, pairs: DataFrame) -> DataFrame:
         """a, b, n_a, n_b, differ, linked of every pair, cut. differ: shingles in one of the two only; where a
         lower bound shows that the pair is no link, that bound."""
-        rough = cut(self._rough(pairs))
+        rough = gathered(self._rough(pairs))
         near = rough.where("linked")
-        need = cut(near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "key"))
+        need = gathered(near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "key"))
         sets = self.sets(need)
         a, b = (sets.select(F.col("key").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
         # the pairs go to the sets of b; each then travels once, to the set of its a
         few = small_or_not(near.select("a", "b", "n_a", "n_b"), near.count(), BROADCAST_PAIRS)
-        heads = cut(near.select("a").distinct())
+        heads = gathered(near.select("a").distinct())
         a = a.join(small_or_not(heads, heads.count(), BROADCAST_PAIRS), "a", "left_semi")
         common = F.size(F.array_intersect("set_a", "set_b"))
         differ = F.col("n_a") + F.col("n_b") - 2 * common
@@ -347,7 +347,7 @@ class Verifier:
             .select("a", "b", "n_a", "n_b", differ.alias("differ"))
             .withColumn("linked", OF_SUM * F.col("differ") <= LEAST_SUM * (F.col("n_a") + F.col("n_b")))
         )
-        return cut(exact.unionByName(rough.where("not linked")))
+        return gathered(exact.unionByName(rough.where("not linked")))
 
     def _rough(self, pairs: DataFrame) -> DataFrame:
         """The pairs with a lower bound of their difference; linked: it does not rule a link out."""
@@ -442,20 +442,23 @@ def class_links(documents: DataFrame, classes: DataFrame, shingle_total: int) ->
     stars = stored(bucket_stars(rows), "stars")
     del rows
     release(spark)  # the shuffled signatures are the largest thing here
-    behind = cut(stars.where(F.col("kind") == KNOWN).select("a", "b", F.col("c").alias("differ")).distinct())
+    behind = gathered(stars.where(F.col("kind") == KNOWN).select("a", "b", F.col("c").alias("differ")).distinct())
     local = behind.select("a", "b")
     verify = Verifier(documents, classes)
-    depends = cut(dependent_classes(stars, local))
+    depends = gathered(dependent_classes(stars, local))
     scratch = Scratch(spark, "dependent")
     dependent = verify.sets(depends).select(F.col("key").alias("id"), F.col("members").alias("t"))
-    crowded = cut(rare_prefix_stars(dependent, scratch))
+    crowded = gathered(rare_prefix_stars(dependent, scratch))
     del dependent
-    pairs = cut(cold_pairs(stars).union(crowded).distinct())
+    pairs = gathered(cold_pairs(stars).union(crowded).distinct())
     release(spark)
 
     def grown(links: DataFrame, measured: DataFrame) -> tuple[DataFrame, DataFrame]:
-        links = links.union(measured.where("linked").select("a", "b"))
-        return links, cut(connected_components(links))
+        """Links of the same reach as links and those measured, one a node, and their components."""
+        components = gathered(connected_components(links.union(measured.where("linked").select("a", "b"))))
+        links = components.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        release(spark)
+        return links, F.broadcast(components) if components.count() <= BROADCAST_PAIRS else components
 
     # first each class with its least partner only: most groups are then joined
     least = verify.measure(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
@@ -467,18 +470,18 @@ def class_links(documents: DataFrame, classes: DataFrame, shingle_total: int) ->
     release(spark)
     known = least.unionByName(left)
     open_stars = known.where("not linked").join(crowded, ["a", "b"], "left_semi")
-    failed = cut(apart(open_stars.select("a", "b", "n_b", "differ"), components))
+    failed = gathered(apart(open_stars.select("a", "b", "n_b", "differ"), components))
     if failed.isEmpty():
         return components
     # the stars of the hubs that a class failed to join, measured whole
     hubs = failed.select("a").distinct()
     star = crowded.join(hubs, "a", "left_semi")
     unknown = star.join(known, ["a", "b"], "left_anti")
-    star = cut(known.join(star, ["a", "b"], "left_semi").unionByName(verify.measure(unknown)))
+    star = gathered(known.join(star, ["a", "b"], "left_semi").unionByName(verify.measure(unknown)))
     upper = F.when(F.col("linked"), F.col("differ")).otherwise(F.col("n_a") + F.col("n_b"))
     sizes = classes.select(F.col("key").alias("b"), F.col("n_shingles").alias("n"))
     # a class with those that stood behind it in its block, each at its difference from the class
-    group = cut(behind.join(sizes, "b").select(F.col("a").alias("x"), F.col("b").alias("y"), "n", "differ"))
+    group = gathered(behind.join(sizes, "b").select(F.col("a").alias("x"), F.col("b").alias("y"), "n", "differ"))
 
     def with_group(df: DataFrame, sign: int) -> DataFrame:
         """df(hub, x, n, d) and the same for all that stood behind x, d less or more their difference."""
@@ -492,7 +495,7 @@ def class_links(documents: DataFrame, classes: DataFrame, shingle_total: int) ->
     members = star.select(F.col("a").alias("hub"), F.col("b").alias("x"), F.col("n_b").alias("n"), upper.alias("d"))
     inner = with_group(hub_itself.distinct().unionByName(members), 1)
     sketches = classes.select(F.col("key").alias("x"), F.col("sketch").alias("s"))
-    outer, inner = cut(outer.join(sketches, "x")), cut(inner.join(sketches, "x"))
+    outer, inner = gathered(outer.join(sketches, "x")), gathered(inner.join(sketches, "x"))
     tested = known.select("a", "b").unionByName(star.select("a", "b"))
     by_hash = W.partitionBy("hub").orderBy(F.xxhash64("x_o"), "x_o")
     for pivots in (*PIVOTS, None):
@@ -512,7 +515,7 @@ def class_links(documents: DataFrame, classes: DataFrame, shingle_total: int) ->
             .select(F.least("x_o", "x_i").alias("a"), F.greatest("x_o", "x_i").alias("b"))
             .distinct()
         )
-        met = cut(met.join(tested, ["a", "b"], "left_anti"))
+        met = gathered(met.join(tested, ["a", "b"], "left_anti"))
         if met.isEmpty():
             continue
         found = verify.measure(met)
@@ -526,7 +529,7 @@ def near_duplicate_components(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = cut(document_sets(docs))
-    classes = cut(
+    classes = gathered(
         sets.where("key is not null and doc_id is not null")
         .groupBy("key")
         .agg(
@@ -566,10 +569,10 @@ def one_of_each_group(documents: DataFrame) -> DataFrame:
     ids = docs.select("node", "doc_id").distinct()
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
     # only groups of more than one row need a row here
-    members = cut(found.join(crowds, "component").join(ids, "node").select("component", "node", "rows", "doc_id", rank.alias("rank")))
+    members = gathered(found.join(crowds, "component").join(ids, "node").select("component", "node", "rows", "doc_id", rank.alias("rank")))
     first = members.groupBy("component").agg(F.min("rank").alias("first"))
     marked = members.join(first, "component").where("rank <> first or rows > 1")
-    marked = cut(marked.select(F.col("doc_id").alias("m_id"), F.col("node").alias("m_node"), (F.col("rank") == F.col("first")).alias("kept")))
+    marked = gathered(marked.select(F.col("doc_id").alias("m_id"), F.col("node").alias("m_node"), (F.col("rank") == F.col("first")).alias("kept")))
     same = (F.col("node") == F.col("m_node")) & F.col("doc_id").eqNullSafe(F.col("m_id"))
     joined = docs.join(small_or_not(marked, marked.count(), BROADCAST_IDS), same, "left").select("row", "doc_id", "node", "kept")
     row = [F.col("row")[c].alias(c) for c in documents.columns]

@@ -65,3 +65,20 @@ def test_null_ids_clashing_columns_and_empty_tables(spark):
     assert sorted(str(r.component_id) for r in got) == ["5", "5", "5", "None"]
     assert nd.near_duplicate_components(df.limit(0)).collect() == []
     assert nd.near_duplicate_components(df.select("doc_id", "text").where("false")).count() == 0
+
+
+def test_rounds_over_few_rows_start_few_tasks(spark, monkeypatch):
+    partitions, joined = [], nd.connected_components
+    monkeypatch.setattr(nd, "connected_components", lambda links: partitions.append(links.rdd.getNumPartitions()) or joined(links))
+    monkeypatch.setattr(nd, "HOT", 2)
+    rows, conf = corpus(2), {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = nd.near_duplicate_components(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+    assert len(partitions) > 1 and max(partitions) <= 3 * spark.sparkContext.defaultParallelism
